@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from graphweft.llm import bpe, decontaminate, line_dedup, quality_rules
+from graphweft.llm import bpe, decontaminate, language_id, line_dedup, quality_model, quality_rules, token_store, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_quality_model": quality_model.op4_quality_model,
+    "op5_token_store": token_store.op5_token_store,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
+    "op9_warc_audit": warc.op9_warc_audit,
+    "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op9_warc_audit": warc.ORACLE}
