@@ -42,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to a table in the shared folder, and read it: lineage is cut, and the files are compressed."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; the built-in lower() is the same for pure ASCII and much faster."""
     upper = "".join(map(chr, range(65, 91)))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphweft.llm import bpe, decontaminate, language_id, line_dedup, quality_model, quality_rules, token_store, warc
+from graphweft.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_model, quality_rules, token_store, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_quality_model": quality_model.op4_quality_model,
     "op5_token_store": token_store.op5_token_store,
