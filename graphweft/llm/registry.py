@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweft.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_model, quality_rules, token_store, warc
+from graphweft.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_model, quality_rules, suffix_dedup, token_store, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_store": token_store.op5_token_store,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_bpe": bpe.op7_bpe,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_warc_audit": warc.op9_warc_audit,
     "op10_language_id": language_id.op10_language_id,
 }
