@@ -5,9 +5,9 @@ that share a band meet in a bucket. In each bucket all are compared with one piv
 compared by a batch of signature values at a time, and dropped once the posterior chance that its similarity
 reaches the threshold is below the chosen miss probability; the survivors are verified on full shingle sets.
 
-A bucket that the pivots leave in several components is looked at again: small ones pair by pair inside a task,
-large ones split by a further band; what even then stays large gets new pivots, round by round, until none is left
-to compare. So no bucket is capped.
+A bucket that the pivots leave in several components is looked at again: each member outside its main component is
+compared with all of other components. Where those are many, the bucket is split by further bands, and what even
+then has many takes them in turn, round by round, until none is left to compare. So no bucket is capped.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweft.llm.common import byte_words, mix64, row_key, stored, table, text_blocks, text_bytes
@@ -31,8 +31,8 @@ BATCH = 16
 MISS = 1e-6
 #: Members of a star that one group streams past its pivot.
 STAR = 1024
-#: A bucket of so many members at most is compared inside one task.
-SMALL = 64
+#: Members outside a bucket's main component that are compared with all of it in one round.
+FEW = 64
 #: Further bands that a large bucket is split by, one after the other.
 SPLITS = 2
 
@@ -248,49 +248,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, v) with their label and their bucket's size, of the buckets that hold several components."""
+    """Members (key, v) of the buckets that hold several components: with label, and whether it is not the bucket's
+    most frequent one (stray), and how many strays the bucket has."""
     known = members.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
-    sizes = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return stored(known.join(sizes, "key"), "open")
+    shares = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    return stored(known.join(main, "key").select("key", "v", "label", (F.col("label") != F.col("main.label")).alias("stray"), "strays"), "open")
 
 
-def _inside(small: DataFrame, classes: DataFrame, similarity: int, miss: float) -> DataFrame:
-    """Pairs of different components that their signatures do not rule out, compared inside bounded buckets."""
-    rows = small.join(classes.select("v", "n", "sig"), "v").select("key", "v", "label", "n", "sig").repartition("key").sortWithinPartitions("key")
-    threshold = similarity / 100
-
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, v, label, n = (rows.column(c).to_numpy() for c in ("key", "v", "label", "n"))
-        sig = _sigs(rows.column("sig"))
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        a, b = [], []
-        for start, end in zip(first, np.append(first[1:], len(key)), strict=True):
-            i, j = np.triu_indices(end - start, 1)
-            i, j = i + start, j + start
-            good = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-            i, j = i[good], j[good]
-            good = survive(sig[i], sig[j], threshold, miss)
-            a.append(np.minimum(v[i[good]], v[j[good]]))
-            b.append(np.maximum(v[i[good]], v[j[good]]))
-        return np.concatenate(a), np.concatenate(b)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            split = int(np.flatnonzero(key == key[-1])[0])  # the last bucket may go on in the next batch
-            if split or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                a, b = pairs(pa.Table.from_batches([*held, batch.slice(0, split)]))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                held = []
-            held.append(batch.slice(split))
-        if held:
-            a, b = pairs(pa.Table.from_batches(held))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+def _met(pivots: DataFrame, members: DataFrame) -> DataFrame:
+    """Each pivot (key, v, label) with all members of its bucket that are of another component."""
+    left = pivots.select("key", F.col("v").alias("p"), F.col("label").alias("own"))
+    both = left.join(members.select("key", "v", "label"), "key").where(F.col("label") != F.col("own"))
+    return both.select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct()
 
 
 def _split(large: DataFrame, classes: DataFrame) -> DataFrame:
@@ -331,26 +301,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, miss:
 
     links = stored(checked(_bayes(stored(pairs, "pairs"), classes, similarity, miss)), "links")
     labels = components(links)
-    left, depth, used = _open(members.select("key", "v"), labels), 0, None
+    left, depth = _open(members.select("key", "v"), labels), 0
     while not left.isEmpty():
-        found = _inside(left.where(F.col("size") <= SMALL), classes, similarity, miss)
-        large = left.where(F.col("size") > SMALL)
+        # two of different components are never both of the main one: strays against all finds every link
+        few, many = left.where(F.col("strays") <= FEW), left.where(F.col("strays") > FEW)
+        found = _met(few.where("stray"), few)
         if depth < SPLITS:
-            rest = _split(large, classes)
-        else:  # one more pivot for each bucket and round; a pivot has then met all of its bucket
-            rest = large.select("key", "v") if used is None else large.select("key", "v").join(used, ["key", "v"], "left_anti")
-            pivots = rest.join(left.select("key", "v", "label"), ["key", "v"]).groupBy("key").agg(F.min(F.struct("v", "label")).alias("p")).select("key", F.col("p.v").alias("a"), F.col("p.label").alias("own"))
-            pivots = stored(pivots, "pivots")
-            more = rest.join(left.select("key", "v", "label"), ["key", "v"]).join(pivots, "key").where(F.col("label") != F.col("own"))
-            found = found.unionByName(_bayes(stored(more.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct(), "pairs"), classes, similarity, miss)).distinct()
-            used = pivots.select("key", F.col("a").alias("v"))
-            rest = rest.join(used, ["key", "v"], "left_anti")
+            rest = _split(many, classes)
+        else:
+            turn = many.where("stray").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("v"))).where(F.col("turn") <= FEW)
+            turn = stored(turn.select("key", "v", "label"), "turn")
+            found = found.unionByName(_met(turn, many))
+            rest = many.select("key", "v").join(turn.select("key", "v"), ["key", "v"], "left_anti")
         rest = stored(rest, "rest")
-        new = stored(checked(found), "links")
+        new = stored(checked(_bayes(stored(found, "pairs"), classes, similarity, miss)), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
-        left, depth, used = _open(rest, labels), depth + 1, None
+        if rest.isEmpty():
+            break
+        left, depth = _open(rest, labels), depth + 1
 
     label = F.coalesce("label", "v")
     reached = stored(classes.join(labels, "v", "left").select("v", "hb", "n", "id", label.alias("label")), "reached")
