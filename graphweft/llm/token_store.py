@@ -5,7 +5,7 @@ leave no torn files, on any file system that Spark reaches. A record is a block
 
     shard, block     place of the block; shards follow the ids' order, blocks too
     doc_ids          ids of its documents, ascending
-    n_tokens         ids in the block
+    before, n_tokens ids of the shard before the block, and in it
     low_bits         bits of each boundary that are stored as they are
     low, high        those bits packed; the rest of each boundary in unary, as a bit vector
     samples          little-endian 32-bit places of every 256th one bit of `high`
@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphweft.llm.bpe import byte_symbols
 from graphweft.llm.common import scratch, table, text_blocks
 from graphweft.llm.vocab import TwoGenerations, vocab_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-CACHED_PIECES = 250_000
+#: Distinct words that each generation of a worker's cache holds.
+CACHED_WORDS = 400_000
 SAMPLE = 256
 
-_SCHEMA = "shard int, block int, doc_ids array<bigint>, n_tokens long, low_bits int, low binary, high binary, samples binary, width int, ids binary"
+_SCHEMA = "shard int, block int, doc_ids array<bigint>, before long, n_tokens long, low_bits int, low binary, high binary, samples binary, width int, ids binary"
 
 
 class EliasFano:
@@ -84,54 +87,58 @@ class EliasFano:
         return out
 
 
-class PieceEncoder:
-    """Encodes with the tokenizers library, each distinct piece between spaces once while it stays cached.
+class WordEncoder:
+    """Encodes with the tokenizers library's model, each distinct word once while it stays cached.
 
-    A single space between two characters that are not white space always begins a token of a byte-level
-    pre-tokenizer, so the ids of a text are those of its pieces, one after the other.
+    Words are those of the byte-level pre-tokenizer's pattern; a text with a special token goes to the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.odd = re.compile(r"\s | \s|^ | $").search
-        self.split = re.compile(r"(?<=\S) (?=\S)").split
-        self.heads, self.spaced = TwoGenerations(CACHED_PIECES // 4), TwoGenerations(CACHED_PIECES)
-
-    def _known(self, cache: TwoGenerations, pieces: set[str], before: str) -> dict[str, bytes]:
-        out, new = {}, []
-        for p in pieces:
-            v = cache.young.get(p)
-            if v is None:
-                v = cache.fetch(p)
-            if v is None:
-                new.append(p)
-            else:
-                out[p] = v
+        self.words = regex.compile(PATTERN).findall
+        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
+        self.cache = TwoGenerations(CACHED_WORDS)
+
+    def known(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word, as bytes."""
+        cache = self.cache
+        young, old = cache.young, cache.old
+        out = {w: young[w] for w in words & young.keys()}
+        back = {w: old[w] for w in (words & old.keys()) - out.keys()}
+        new = list(words - out.keys() - back.keys())
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part] if before else part, add_special_tokens=False), strict=True):
-                out[p] = v = np.array(e.ids, self.dtype).tobytes()
-                cache.put(p, v)
+            as_bytes = [w.encode().decode("latin1").translate(self.symbols) for w in part]
+            found = self.model.encode_batch_fast(as_bytes, add_special_tokens=False)
+            code = "H" if self.dtype.itemsize == 2 else "I"
+            back.update(zip(part, [pack(f"<{len(i)}{code}", *i) for i in (e.ids for e in found)], strict=True))
+        cache.put_all(back)
+        out.update(back)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split(t) if self.odd(t) else t.split(" ") for t in texts]
-        heads = self._known(self.heads, {p[0] for p in pieces}, "")
-        spaced = self._known(self.spaced, {x for p in pieces for x in p[1:]}, " ").__getitem__
-        return [heads[p[0]] + b"".join(map(spaced, p[1:])) for p in pieces]
+        cut = [self.words(t) for t in texts]
+        ids = self.known({w for c in cut for w in c}).__getitem__
+        out = [b"".join(map(ids, c)) for c in cut]
+        for k, t in enumerate(texts):
+            if any(s in t for s in self.special):
+                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
-def loaded(path: str) -> PieceEncoder:
-    return PieceEncoder(vocab_path(path))
+def loaded(path: str) -> WordEncoder:
+    return WordEncoder(vocab_path(path))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -148,13 +155,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = loaded(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
+        before = 0
         for block, rows in enumerate(text_blocks(batches, "text")):
             ids = [x + end for x in encoder.encode(rows.column("text").to_pylist())]
             bounds = np.cumsum([0, *map(len, ids)]) // encoder.dtype.itemsize
             ef = EliasFano.encode(bounds)
-            record = {"shard": shard, "block": block, "doc_ids": rows.column("doc_id").to_pylist(), "n_tokens": int(bounds[-1]), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples, "width": encoder.dtype.itemsize, "ids": b"".join(ids)}
-            kinds = {"shard": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.int64(), "low_bits": pa.int32(), "width": pa.int32()}
+            record = {"shard": shard, "block": block, "doc_ids": rows.column("doc_id").to_pylist(), "before": before, "n_tokens": int(bounds[-1]), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples, "width": encoder.dtype.itemsize, "ids": b"".join(ids)}
+            kinds = {"shard": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "before": pa.int64(), "n_tokens": pa.int64(), "low_bits": pa.int32(), "width": pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in record.items()], list(record))
+            before += int(bounds[-1])
 
     ordered.mapInArrow(encode, _SCHEMA).write.option("compression", "zstd").parquet(path)
 
@@ -162,16 +171,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """One row per document of a store: doc_id, start, n_tokens, ids_crc32, and ids unless told otherwise.
 
-    Starts come from the block lengths (two narrow windows: one row a block, one row a shard) and the boundaries
-    from each block's Elias-Fano code.
+    Starts come from the shards' lengths (one row a shard, as many as the writer's partitions), the blocks' places in
+    their shards, and the boundaries in each block's Elias-Fano code.
     """
     blocks = spark.read.parquet(path)
-    sizes = blocks.select("shard", "block", "n_tokens")
-    shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    inside = sizes.select("shard", "block", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("inside"))
-    starts = inside.join(before, "shard").select("shard", "block", (F.col("inside") + F.col("shard_start")).alias("block_start"))
-    placed = blocks.join(starts, ["shard", "block"])
+    # bounded: one row for each partition that wrote
+    placed = blocks.join(F.broadcast(before), "shard").withColumn("block_start", F.col("before") + F.col("shard_start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

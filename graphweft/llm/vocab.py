@@ -29,3 +29,8 @@ class TwoGenerations:
         if value is not None:
             self.put(key, value)
         return value
+
+    def put_all(self, values: dict) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young.update(values)
