@@ -10,8 +10,8 @@ runs whose anchors begin with the same gram; so
 2. equal runs (same bytes, same anchor place) that occur twice are repeats as a whole;
 3. the distinct runs that share a gram are range-partitioned by its bytes with sampled splitters, so that no gram is
    parted; a bucket sorts the suffixes of its runs by multikey quicksort, 8 bytes a key, refining ties only, and
-   equal neighbours are repeats. A gram with more than LARGE distinct runs, which would load one bucket, has its
-   suffixes dealt over all tasks by their own content instead, which finds the same equals.
+   equal neighbours are repeats. A gram with more than LARGE distinct runs, which would load one bucket, is split
+   by ranges of distances to the anchor instead, which finds the same equals.
 """
 
 from __future__ import annotations
@@ -196,22 +196,53 @@ def _sorted_buckets(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartitionByRange(n, "lead").sortWithinPartitions("lead", "g").select("g", "c", "size", "anchor", "bytes").mapInArrow(work, _MARK_SCHEMA)
 
 
-def _dealt_suffixes(contexts: DataFrame, length: int) -> DataFrame:
-    """Marks of runs whose grams are too frequent for one bucket: suffixes meet by 128 bits of their content."""
+def _halved(contexts: DataFrame, length: int) -> DataFrame | None:
+    """Marks of runs whose grams are too frequent for one bucket, by halving ranges of distances to the anchor.
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                h = gram_hashes(np.frombuffer(bytes(r["bytes"]), np.uint8))
-                at = np.arange(r["size"])
-                size = np.full(r["size"], length)
-                both = [pa.array(part_hash(h, at, size, length, salt).view(np.int64)) for salt in (1, 77)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["g"])), pa.array(np.full(len(at), r["c"])), pa.array(at.astype(np.int32)), *both], ["g", "c", "at", "h1", "h2"])
-
-    suffixes = contexts.select("g", "c", "size", "bytes").mapInArrow(spread, "g long, c long, at int, h1 long, h2 long")
-    again = suffixes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = suffixes.join(again, ["h1", "h2"]).groupBy("g", "c").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    return found.select("g", "c", F.transform("at", lambda x: F.struct(x.alias("s"), (x + 1).alias("e"))).alias("marks"))
+    All strings of a range share a core. A part of a run is settled when no other run has its core, or when another
+    run has all its bytes (then it is a repeat as a whole, and one of the equals goes on as a partner for others). The
+    rest is halved, down to single strings. Most parts are settled early, so that a run makes a few rows, not one for
+    each of its strings; equal parts are counted before the shuffle.
+    """
+    fields = ["g", "c", "x0", "xa", "xb", "anchor", "size", "k1", "k2", "u1", "u2", "bytes"]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, *[pa.int64()] * 4, pa.binary()]
+    schema = "g long, c long, x0 int, xa int, xb int, anchor int, size int, k1 long, k2 long, u1 long, u2 long, bytes binary"
+
+    def digest(*parts: object, data: bytes) -> tuple[int, int]:
+        h = hashlib.blake2b(repr(parts).encode() + b"|" + data, digest_size=16).digest()
+        return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+    def halves(width: int):
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    a, data = r["anchor"], bytes(r["bytes"])
+                    for x0 in (r["x0"], r["x0"] + width):
+                        xa, xb = max(x0, a - r["size"] + 1), min(x0 + width - 1, a)
+                        if xa > xb:
+                            continue
+                        core = digest(r["g"], x0, data=data[a - x0 : max(a - x0, a + length - x0 - width + 1)])
+                        whole = digest(r["g"], xa, xb, data=data[a - xb : a + length - xa])
+                        out.append((r["g"], r["c"], x0, xa, xb, a, r["size"], *core, *whole, data))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], fields)
+
+        return split
+
+    width = 1
+    while width < length:
+        width *= 2
+    rows, marks = contexts.withColumn("x0", F.lit(0)), None
+    while width > 1 and not rows.isEmpty():
+        width //= 2
+        parts = stored(rows.mapInArrow(halves(width), schema), "parts")
+        equal = parts.groupBy("k1", "k2", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("one"))
+        shared = equal.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
+        open_ = stored(parts.join(equal, ["k1", "k2", "u1", "u2"]).join(shared, ["k1", "k2"]), "open")
+        now = open_.where("n > 1").select("g", "c", F.array(F.struct((F.col("anchor") - F.col("xb")).alias("s"), (F.col("anchor") - F.col("xa") + 1).alias("e"))).alias("marks"))
+        marks = now if marks is None else marks.unionByName(now)
+        rows = open_.where("kinds > 1 AND c = one").select("g", "c", "size", "anchor", "bytes", "x0")
+    return marks
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
@@ -253,7 +284,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     contexts = stored(texts.mapInArrow(fetch, "g long, c long, size int, anchor int, members long, lead binary, bytes binary").dropDuplicates(["g", "c"]), "contexts")
     parts = _sorted_buckets(contexts.where(F.col("members") <= large), length)
     hot = contexts.where(F.col("members") > large)
-    marks = whole.unionByName(parts).unionByName(_dealt_suffixes(hot, length))
+    marks, halved = whole.unionByName(parts), _halved(hot, length)
+    marks = marks if halved is None else marks.unionByName(halved)
     marks = marks.groupBy("g", "c").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
     spans = near.join(marks, ["g", "c"]).select("id", "row", F.explode("marks").alias("m"), "start", "size", "reps")
