@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweft.llm.common import byte_words, mix64, row_key, stored, table, text_blocks, text_bytes
@@ -32,7 +32,11 @@ MISS = 1e-6
 #: Members of a star that one group streams past its pivot.
 STAR = 1024
 #: Members outside a bucket's main component that are compared with all of it in one round.
-FEW = 64
+FEW = 128
+#: A shingle with more owners than this, among the classes of open buckets, counts as frequent.
+RARE = 32
+#: Rows (40 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Further bands that a large bucket is split by, one after the other.
 SPLITS = 2
 
@@ -248,19 +252,64 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, v) of the buckets that hold several components: with label, and whether it is not the bucket's
-    most frequent one (stray), and how many strays the bucket has."""
-    known = members.join(labels, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
+    """Members of the buckets that hold several components: with label, and whether it is not the bucket's most
+    frequent one (stray), and how many strays the bucket has."""
+    own = [c for c in members.columns if c not in ("label", "stray", "strays")]
+    known = members.select(*own).join(labels, "v", "left").select(*own, F.coalesce("label", "v").alias("label"))
     shares = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = shares.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-    return stored(known.join(main, "key").select("key", "v", "label", (F.col("label") != F.col("main.label")).alias("stray"), "strays"), "open")
+    return stored(known.join(main, "key").select(*own, "label", (F.col("label") != F.col("main.label")).alias("stray"), "strays"), "open")
 
 
-def _met(pivots: DataFrame, members: DataFrame) -> DataFrame:
-    """Each pivot (key, v, label) with all members of its bucket that are of another component."""
-    left = pivots.select("key", F.col("v").alias("p"), F.col("label").alias("own"))
-    both = left.join(members.select("key", "v", "label"), "key").where(F.col("label") != F.col("own"))
-    return both.select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")).distinct()
+def _shared_parts(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """What members (key, v, label, stray) of open buckets can still be linked by: (members, pairs).
+
+    Take the shingles that more than RARE classes of open buckets have as frequent. Two linked classes have
+    similarity / (100 + similarity) of the sum of their sizes in common; where one has fewer frequent shingles than
+    that, they share rare ones, and enough of them. Such pairs (a, b) come from an index of the rare shingles, each of
+    which has at most RARE owners. Only the other members, whose frequent shingles alone could do, remain in their
+    buckets. This is exact, and most of what strays from a group of near copies by edits of its own falls here.
+    """
+    wanted = stored(members.groupBy("v").agg(F.first("label").alias("label"), F.max("stray").alias("stray")).join(classes.select("v", "n", "id", "row"), "v"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    at = wanted.select("v", "id", "row")
+    texts = docs.join(F.broadcast(at) if few else at, ["id", "row"]).select("v", "text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, "text"):
+            sets = shingle_sets(block.column("text"), words)
+            owner = np.repeat(block.column("v").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], ["v", "shingle"])
+
+    rows = stored(texts.mapInArrow(spread, "v long, shingle long"), "shingles")
+    owners = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
+    shared = stored(rows.join(owners, "shingle"), "shared")
+    frequent = shared.where(F.col("owners") > RARE).groupBy("v").agg(F.count(F.lit(1)).alias("frequent"))
+    known = stored(wanted.join(frequent, "v", "left").select("v", "n", "label", "stray", F.coalesce("frequent", F.lit(0)).alias("frequent")), "known")
+
+    index = shared.where(F.col("owners") <= RARE).join(known, "v").select("shingle", "v", "n", "label", "stray", "frequent")
+    left = index.where("stray").select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("v", "n", "label", "frequent")])
+    # two strays meet once; every pair has a stray
+    both = left.join(index, "shingle").where(F.col("label") != F.col("label_1")).where(~F.col("stray") | (F.col("v_1") < F.col("v")))
+    counted = both.groupBy("v_1", "v").agg(F.count(F.lit(1)).alias("rare"), F.first("n_1").alias("n_1"), F.first("n").alias("n"), F.first("frequent_1").alias("frequent_1"), F.first("frequent").alias("frequent"))
+    pairs = counted.where(_enough(F.col("rare") + F.least("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity)).select(F.least("v", "v_1").alias("a"), F.greatest("v", "v_1").alias("b"))
+
+    placed = members.select("key", "v").join(known.select("v", "n", "frequent"), "v")
+    least = placed.groupBy("key").agg(F.min("n").alias("least"))
+    rest = placed.join(least, "key").where(_enough(F.col("frequent"), F.col("n") + F.col("least"), similarity)).select("key", "v", "n", "frequent")
+    return stored(rest, "rest"), stored(pairs, "alike")
+
+
+def _enough(common: Column, sizes: Column, similarity: int) -> Column:
+    return (100 + similarity) * common >= similarity * sizes
+
+
+def _met(pivots: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
+    """Each pivot with all members of its bucket that are of another component, if their frequent shingles could do."""
+    left = pivots.select("key", *[F.col(c).alias(f"{c}_1") for c in ("v", "label", "n", "frequent")])
+    both = left.join(members.select("key", "v", "label", "n", "frequent"), "key").where(F.col("label") != F.col("label_1"))
+    both = both.where(_enough(F.least("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity))
+    return both.select(F.least("v", "v_1").alias("a"), F.greatest("v", "v_1").alias("b")).distinct()
 
 
 def _split(large: DataFrame, classes: DataFrame) -> DataFrame:
@@ -293,8 +342,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, miss:
 
     bands = _bands(classes)
     buckets = stored(bands.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b"), "buckets")
-    members = stored(bands.join(buckets.where("size > 2").select("key", "a"), "key"), "members")
-    pairs = buckets.where("size = 2").select("a", "b").unionByName(members.where("v <> a").select("a", F.col("v").alias("b"))).distinct()
+    shared = stored(bands.join(buckets.where("size > 2").select("key", "size"), "key"), "shared")
+    # the pivot is the member that meets most others: the text that near copies were made from, if it is there
+    weight = shared.groupBy("v").agg(F.sum("size").alias("weight"))
+    members = stored(shared.join(weight, "v").select("key", "v", "weight"), "members")
+    pivots = members.groupBy("key").agg(F.max(F.struct("weight", "v")).alias("top")).select("key", F.col("top.v").alias("a"))
+    stars = members.join(pivots, "key").where("v <> a").select("a", F.col("v").alias("b"))
+    pairs = buckets.where("size = 2").select("a", "b").unionByName(stars).distinct()
 
     def checked(pairs: DataFrame) -> DataFrame:
         return _verified(stored(pairs, "alike"), classes, base, words, similarity)
@@ -302,17 +356,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, miss:
     links = stored(checked(_bayes(stored(pairs, "pairs"), classes, similarity, miss)), "links")
     labels = components(links)
     left, depth = _open(members.select("key", "v"), labels), 0
+    if not left.isEmpty():
+        rest, pairs = _shared_parts(left, classes, base, words, similarity)
+        new = stored(checked(_bayes(pairs, classes, similarity, miss)), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+        left = _open(rest, labels)
     while not left.isEmpty():
         # two of different components are never both of the main one: strays against all finds every link
         few, many = left.where(F.col("strays") <= FEW), left.where(F.col("strays") > FEW)
-        found = _met(few.where("stray"), few)
+        found = _met(few.where("stray"), few, similarity)
         if depth < SPLITS:
-            rest = _split(many, classes)
+            rest = _split(many, classes).join(many.select("v", "n", "frequent").distinct(), "v")
         else:
             turn = many.where("stray").withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("v"))).where(F.col("turn") <= FEW)
-            turn = stored(turn.select("key", "v", "label"), "turn")
-            found = found.unionByName(_met(turn, many))
-            rest = many.select("key", "v").join(turn.select("key", "v"), ["key", "v"], "left_anti")
+            turn = stored(turn.select("key", "v", "label", "n", "frequent"), "turn")
+            found = found.unionByName(_met(turn, many, similarity))
+            rest = many.select("key", "v", "n", "frequent").join(turn.select("key", "v"), ["key", "v"], "left_anti")
         rest = stored(rest, "rest")
         new = stored(checked(_bayes(stored(found, "pairs"), classes, similarity, miss)), "links")
         if not new.isEmpty():
