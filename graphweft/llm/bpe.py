@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import table, text_blocks
+from graphweft.llm.common import bounded_batches, table, text_blocks
 from graphweft.llm.vocab import TwoGenerations, vocab_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words that each generation of a worker's cache holds.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -207,7 +207,9 @@ def _mapped(docs: DataFrame, vocabulary: str, text_col: str, new: dict, make) ->
             rows = [make(bpe, text or "") for text in block.column("__text").to_pylist()]
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*[block.column(f.name) for f in old], *made], [*[f.name for f in old], *new])
+        bpe.cache.clear()  # the worker lives on, with other work
 
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{f.name}`") for f in old], F.col(f"`{text_col}`").alias("__text"))
     return kept.mapInArrow(encode, schema)
 

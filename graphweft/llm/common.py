@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised block holds at most (a longer document is a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -49,6 +49,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: hand fewer rows at a time to Python workers than Spark does by default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; the built-in lower() is the same for pure ASCII and much faster."""
     upper = "".join(map(chr, range(65, 91)))

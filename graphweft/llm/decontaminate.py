@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import byte_words, cut, table, text_blocks, text_bytes
+from graphweft.llm.common import bounded_batches, byte_words, cut, table, text_blocks, text_bytes
 
 #: Bytes of item text in one broadcast block; more items take more passes.
 ITEM_BLOCK_BYTES = 16 << 20
+#: Bytes of training text in one suffix array.
+SHARD_BYTES = 2 << 20
 #: Suffixes enter the array by so many leading words at most.
 LEAD = 3
 
@@ -208,12 +210,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def _pass(docs: DataFrame, items: Items, text_col: str, number: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(items)
     old = [f for f in docs.schema.fields if f.name not in ("n_words", "n_hit", "items", "longest", "matches")]
     schema = T.StructType([*old, *T.StructType.fromDDL(f"n_words long, n_hit long, items array<string>, longest int, matches {_SPANS}")])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, text_col):
+        for block in text_blocks(batches, text_col, SHARD_BYTES):
             counts, found = scan_shard(sent.value, block.column(text_col))
             if number:
                 found = [[*map(lambda m: tuple(m.values()), was), *now] for was, now in zip(block.column("matches").to_pylist(), found, strict=True)]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import mix64, table, text_blocks, text_bytes
+from graphweft.llm.common import bounded_batches, mix64, table, text_blocks, text_bytes
 
 #: Hashed byte n-grams.
 BUCKETS = 4096
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         bucket = np.append(np.flatnonzero(seen), BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.append(seen[seen > 0], total), pa.int64())], ["bucket", "n"])
 
+    bounded_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`").alias("text")
     df = np.zeros(BUCKETS + 1)
     for r in docs.select(text).mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -158,6 +159,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     first language by name. Rows are taken one by one: repeats and ids change nothing.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids of fixed width for each language
+    bounded_batches(docs.sparkSession)
     new = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
     old = [f for f in docs.schema.fields if f.name not in new]
 

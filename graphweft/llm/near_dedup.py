@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import byte_words, mix64, row_key, stored, table, text_blocks, text_bytes
+from graphweft.llm.common import bounded_batches, byte_words, mix64, row_key, stored, table, text_blocks, text_bytes
 
 BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
@@ -334,6 +334,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, miss:
     linked. Rows that repeat an id are compared each by itself; they are kept together where their id is the least.
     A row without an id has no component, no links, and is kept. An empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").alias("text"))
     signed = stored(_signed(base, words), "signed")
     named = signed.where(F.col("id").isNotNull() & (F.col("n") > 0))

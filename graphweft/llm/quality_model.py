@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import BYTE_VALUE, byte_words, mix64, table, text_blocks, text_bytes
+from graphweft.llm.common import BYTE_VALUE, bounded_batches, byte_words, mix64, table, text_blocks, text_bytes
 
 BUCKETS = 1 << 17
 #: Bytes in a character n-gram; words are marked at both ends.
@@ -137,6 +137,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", thresho
 
     Null and empty texts, and texts of white space, get the model's prior. Rows are taken one by one.
     """
+    bounded_batches(docs.sparkSession)
     slim = Model.__new__(Model)
     slim.table, slim.bias = model.table, model.bias
     sent = docs.sparkSession.sparkContext.broadcast(slim)  # one float for each of a fixed number of buckets

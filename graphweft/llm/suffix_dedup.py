@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import BYTE_VALUE, mix64, stored, table, text_blocks, text_bytes
+from graphweft.llm.common import BYTE_VALUE, bounded_batches, mix64, stored, table, text_blocks, text_bytes
 
 LENGTH = 200
 GRAM = 64
 #: Distinct runs of one gram that a bucket sorts at most.
 LARGE = 1024
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Suffixes that one sort takes at a time.
 SORTED = 1 << 18
 
@@ -254,6 +254,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
+    bounded_batches(docs.sparkSession)
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     row = F.hash(ident, text)
     base = docs.select(ident.cast("long").alias("id"), row.alias("row"), text.alias("text"))

@@ -17,10 +17,11 @@ Boundaries are the n + 1 offsets of the documents in the block's ids: about 2 +
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from struct import pack
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweft.llm.bpe import byte_symbols
-from graphweft.llm.common import scratch, table, text_blocks
+from graphweft.llm.common import bounded_batches, scratch, table, text_blocks
 from graphweft.llm.vocab import TwoGenerations, vocab_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Distinct words that each generation of a worker's cache holds.
-CACHED_WORDS = 400_000
-SAMPLE = 256
-
+#: Entries that each generation of a worker's caches holds.
+CACHED = 400_000
+#: Bytes of text in a block of the store.
+STORED_BYTES = 4 << 20
 _SCHEMA = "shard int, block int, doc_ids array<bigint>, before long, n_tokens long, low_bits int, low binary, high binary, samples binary, width int, ids binary"
 
 
@@ -106,29 +107,25 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = regex.compile(PATTERN).findall
+        # the same for ASCII texts, whose letters and digits are plain ranges
+        plain = {r"[^\s\p{L}\p{N}]": r"[^ \t-\rA-Za-z0-9]", r"\p{L}": "[A-Za-z]", r"\p{N}": "[0-9]", r"\s": r"[ \t-\r]", r"\S": r"[^ \t-\r]"}
+        self.ascii_words = re.compile(reduce(lambda x, kv: x.replace(*kv), plain.items(), PATTERN)).findall
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
-        self.cache = TwoGenerations(CACHED_WORDS)
-
-    def known(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of each word, as bytes."""
-        cache = self.cache
-        young, old = cache.young, cache.old
-        out = {w: young[w] for w in words & young.keys()}
-        back = {w: old[w] for w in (words & old.keys()) - out.keys()}
-        new = list(words - out.keys() - back.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            as_bytes = [w.encode().decode("latin1").translate(self.symbols) for w in part]
-            found = self.model.encode_batch_fast(as_bytes, add_special_tokens=False)
-            code = "H" if self.dtype.itemsize == 2 else "I"
-            back.update(zip(part, [pack(f"<{len(i)}{code}", *i) for i in (e.ids for e in found)], strict=True))
-        cache.put_all(back)
-        out.update(back)
-        return out
+        self.cache = TwoGenerations(CACHED)
+
+    def modelled(self, words: list[str]) -> list[bytes]:
+        """Ids of words, as bytes: one call for all, whose tokens tell which word they come from."""
+        if not words:
+            return []
+        mapped = [w.encode().decode("latin1").translate(self.symbols) for w in words]
+        found = self.model.encode_batch([mapped], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(found.ids, self.dtype).tobytes()
+        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))) * self.dtype.itemsize
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.words(t) for t in texts]
-        ids = self.known({w for c in cut for w in c}).__getitem__
+        cut = [(self.ascii_words if t.isascii() else self.words)(t) for t in texts]
+        ids = self.cache.resolve(set(chain.from_iterable(cut)), self.modelled).__getitem__
         out = [b"".join(map(ids, c)) for c in cut]
         for k, t in enumerate(texts):
             if any(s in t for s in self.special):
@@ -148,6 +145,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     Rows that repeat an id lie side by side, in the order of their texts. An empty table makes an empty store.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -156,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
         encoder, shard = loaded(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
         before = 0
-        for block, rows in enumerate(text_blocks(batches, "text")):
+        for block, rows in enumerate(text_blocks(batches, "text", STORED_BYTES)):
             ids = [x + end for x in encoder.encode(rows.column("text").to_pylist())]
             bounds = np.cumsum([0, *map(len, ids)]) // encoder.dtype.itemsize
             ef = EliasFano.encode(bounds)
