@@ -39,6 +39,9 @@ END_ID = 0
 CACHED = 400_000
 #: Bytes of text in a block of the store.
 STORED_BYTES = 4 << 20
+#: One bits between sampled places.
+SAMPLE = 256
+
 _SCHEMA = "shard int, block int, doc_ids array<bigint>, before long, n_tokens long, low_bits int, low binary, high binary, samples binary, width int, ids binary"
 
 
