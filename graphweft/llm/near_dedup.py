@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Texts with the same shingle set are one class; only classes are compared. Signatures are cut into bands, and classes
-that share a band meet in a bucket. In each bucket all are compared with one pivot, never all with all. A pair is
+that share a band meet in a bucket. In each bucket all are compared with a few pivots, never all with all. A pair is
 compared by a batch of signature values at a time, and dropped once the posterior chance that its similarity
 reaches the threshold is below the chosen miss probability; the survivors are verified on full shingle sets.
 
@@ -31,10 +31,14 @@ BATCH = 16
 MISS = 1e-6
 #: Members of a star that one group streams past its pivot.
 STAR = 1024
+#: Members of a bucket that all others are compared with at first.
+PIVOTS = 3
 #: Members outside a bucket's main component that are compared with all of it in one round.
 FEW = 128
 #: A shingle with more owners than this, among the classes of open buckets, counts as frequent.
 RARE = 32
+#: Parts that frequent shingles are counted in: two classes share at most the sum of the lesser counts.
+PARTS = 16
 #: Rows (40 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Further bands that a large bucket is split by, one after the other.
@@ -284,22 +288,29 @@ def _shared_parts(members: DataFrame, classes: DataFrame, docs: DataFrame, words
     rows = stored(texts.mapInArrow(spread, "v long, shingle long"), "shingles")
     owners = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
     shared = stored(rows.join(owners, "shingle"), "shared")
-    frequent = shared.where(F.col("owners") > RARE).groupBy("v").agg(F.count(F.lit(1)).alias("frequent"))
-    known = stored(wanted.join(frequent, "v", "left").select("v", "n", "label", "stray", F.coalesce("frequent", F.lit(0)).alias("frequent")), "known")
+    part = F.pmod("shingle", F.lit(PARTS))
+    frequent = shared.where(F.col("owners") > RARE).groupBy("v").agg(F.array(*[F.count_if(part == k) for k in range(PARTS)]).alias("frequent"))
+    none = F.array_repeat(F.lit(0).cast("long"), PARTS)
+    known = stored(wanted.join(frequent, "v", "left").select("v", "n", "label", "stray", F.coalesce("frequent", none).alias("frequent")), "known")
 
     index = shared.where(F.col("owners") <= RARE).join(known, "v").select("shingle", "v", "n", "label", "stray", "frequent")
     left = index.where("stray").select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("v", "n", "label", "frequent")])
     # two strays meet once; every pair has a stray
     both = left.join(index, "shingle").where(F.col("label") != F.col("label_1")).where(~F.col("stray") | (F.col("v_1") < F.col("v")))
     counted = both.groupBy("v_1", "v").agg(F.count(F.lit(1)).alias("rare"), F.first("n_1").alias("n_1"), F.first("n").alias("n"), F.first("frequent_1").alias("frequent_1"), F.first("frequent").alias("frequent"))
-    pairs = counted.where(_enough(F.col("rare") + F.least("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity)).select(F.least("v", "v_1").alias("a"), F.greatest("v", "v_1").alias("b"))
+    pairs = counted.where(_enough(F.col("rare") + _common("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity)).select(F.least("v", "v_1").alias("a"), F.greatest("v", "v_1").alias("b"))
 
     placed = members.select("key", "v").join(known.select("v", "n", "frequent"), "v")
     least = placed.groupBy("key").agg(F.min("n").alias("least"))
-    rest = placed.join(least, "key").where(_enough(F.col("frequent"), F.col("n") + F.col("least"), similarity)).select("key", "v", "n", "frequent")
+    rest = placed.join(least, "key").where(_enough(_common("frequent", "frequent"), F.col("n") + F.col("least"), similarity)).select("key", "v", "n", "frequent")
     return stored(rest, "rest"), stored(pairs, "alike")
 
 
+def _common(a: str, b: str) -> Column:
+    """The most that two classes can share, by their counts in each part."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def _enough(common: Column, sizes: Column, similarity: int) -> Column:
     return (100 + similarity) * common >= similarity * sizes
 
@@ -308,7 +319,7 @@ def _met(pivots: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
     """Each pivot with all members of its bucket that are of another component, if their frequent shingles could do."""
     left = pivots.select("key", *[F.col(c).alias(f"{c}_1") for c in ("v", "label", "n", "frequent")])
     both = left.join(members.select("key", "v", "label", "n", "frequent"), "key").where(F.col("label") != F.col("label_1"))
-    both = both.where(_enough(F.least("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity))
+    both = both.where(_enough(_common("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity))
     return both.select(F.least("v", "v_1").alias("a"), F.greatest("v", "v_1").alias("b")).distinct()
 
 
@@ -344,11 +355,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, miss:
     bands = _bands(classes)
     buckets = stored(bands.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b"), "buckets")
     shared = stored(bands.join(buckets.where("size > 2").select("key", "size"), "key"), "shared")
-    # the pivot is the member that meets most others: the text that near copies were made from, if it is there
+    # pivots are the members that meet most others: among near copies, those with the fewest edits of their own
     weight = shared.groupBy("v").agg(F.sum("size").alias("weight"))
     members = stored(shared.join(weight, "v").select("key", "v", "weight"), "members")
-    pivots = members.groupBy("key").agg(F.max(F.struct("weight", "v")).alias("top")).select("key", F.col("top.v").alias("a"))
-    stars = members.join(pivots, "key").where("v <> a").select("a", F.col("v").alias("b"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "v"))
+    pivots = members.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("key", F.col("v").alias("p"))
+    stars = members.join(pivots, "key").where("v <> p").select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b"))
     pairs = buckets.where("size = 2").select("a", "b").unionByName(stars).distinct()
 
     def checked(pairs: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import chain
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ END_ID = 0
 #: Entries that each generation of a worker's caches holds.
 CACHED = 400_000
 #: Bytes of text in a block of the store.
-STORED_BYTES = 4 << 20
+STORED_BYTES = 8 << 20
 #: One bits between sampled places.
 SAMPLE = 256
 
@@ -91,6 +92,15 @@ class EliasFano:
         return out
 
 
+def plain(text: str) -> bool:
+    """Whether all characters are among the first 256."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Encodes with the tokenizers library's model, each distinct word once while it stays cached.
 
@@ -110,9 +120,10 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = regex.compile(PATTERN).findall
-        # the same for ASCII texts, whose letters and digits are plain ranges
-        plain = {r"[^\s\p{L}\p{N}]": r"[^ \t-\rA-Za-z0-9]", r"\p{L}": "[A-Za-z]", r"\p{N}": "[0-9]", r"\s": r"[ \t-\r]", r"\S": r"[^ \t-\r]"}
-        self.ascii_words = re.compile(reduce(lambda x, kv: x.replace(*kv), plain.items(), PATTERN)).findall
+        # the same for texts of the first 256 characters, where the classes are short lists
+        letters, digits, spaces = (re.escape("".join(c for c in map(chr, range(256)) if test(c))) for test in (lambda c: category(c)[0] == "L", lambda c: category(c)[0] == "N", lambda c: c in " \t\n\x0b\x0c\r\x85\xa0"))
+        plain = {r"[^\s\p{L}\p{N}]": f"[^{spaces}{letters}{digits}]", r"\p{L}": f"[{letters}]", r"\p{N}": f"[{digits}]", r"\s": f"[{spaces}]", r"\S": f"[^{spaces}]"}
+        self.plain_words = re.compile(reduce(lambda x, kv: x.replace(*kv), plain.items(), PATTERN)).findall
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         self.cache = TwoGenerations(CACHED)
 
@@ -127,7 +138,7 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [(self.ascii_words if t.isascii() else self.words)(t) for t in texts]
+        cut = [(self.plain_words if plain(t) else self.words)(t) for t in texts]
         ids = self.cache.resolve(set(chain.from_iterable(cut)), self.modelled).__getitem__
         out = [b"".join(map(ids, c)) for c in cut]
         for k, t in enumerate(texts):
@@ -148,7 +159,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     Rows that repeat an id lie side by side, in the order of their texts. An empty table makes an empty store.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 2500)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -34,14 +34,13 @@ class TwoGenerations:
         self.young, self.old = {}, {}
 
     def resolve(self, keys: set, make) -> dict:
-        """Values of all keys; make(list of unknown keys) gives those that are not held."""
-        young, old = self.young, self.old
-        out = {k: young[k] for k in keys & young.keys()}
-        back = {k: old[k] for k in (keys & old.keys()) - out.keys()}
-        new = list(keys - out.keys() - back.keys())
-        back.update(zip(new, make(new), strict=True))
+        """A table with the values of all keys; make(list of unknown keys) gives those that are not held."""
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
-        self.young.update(back)
-        out.update(back)
-        return out
+        young, old = self.young, self.old
+        wanted = keys - young.keys()
+        back = {k: old[k] for k in wanted & old.keys()} if old else {}
+        new = list(wanted - back.keys())
+        young.update(back)
+        young.update(zip(new, make(new), strict=True))
+        return young
