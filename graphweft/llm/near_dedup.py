@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Texts with the same shingle set are one class; only classes are compared. Signatures are cut into bands, and classes
-that share a band meet in a bucket. In each bucket all are compared with a few pivots, never all with all. A pair is
+that share a band meet in a bucket. In each bucket all are compared with one pivot, never all with all. A pair is
 compared by a batch of signature values at a time, and dropped once the posterior chance that its similarity
 reaches the threshold is below the chosen miss probability; the survivors are verified on full shingle sets.
 
@@ -31,8 +31,6 @@ BATCH = 16
 MISS = 1e-6
 #: Members of a star that one group streams past its pivot.
 STAR = 1024
-#: Members of a bucket that all others are compared with at first.
-PIVOTS = 3
 #: Members outside a bucket's main component that are compared with all of it in one round.
 FEW = 128
 #: A shingle with more owners than this, among the classes of open buckets, counts as frequent.
@@ -293,12 +291,16 @@ def _shared_parts(members: DataFrame, classes: DataFrame, docs: DataFrame, words
     none = F.array_repeat(F.lit(0).cast("long"), PARTS)
     known = stored(wanted.join(frequent, "v", "left").select("v", "n", "label", "stray", F.coalesce("frequent", none).alias("frequent")), "known")
 
-    index = shared.where(F.col("owners") <= RARE).join(known, "v").select("shingle", "v", "n", "label", "stray", "frequent")
-    left = index.where("stray").select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("v", "n", "label", "frequent")])
+    # first by totals, which aggregate by hash; then by parts
+    index = shared.where(F.col("owners") <= RARE).join(known, "v").select("shingle", "v", "n", "label", "stray", _common("frequent", "frequent").alias("f"))
+    left = index.where("stray").select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("v", "n", "label", "f")])
     # two strays meet once; every pair has a stray
     both = left.join(index, "shingle").where(F.col("label") != F.col("label_1")).where(~F.col("stray") | (F.col("v_1") < F.col("v")))
-    counted = both.groupBy("v_1", "v").agg(F.count(F.lit(1)).alias("rare"), F.first("n_1").alias("n_1"), F.first("n").alias("n"), F.first("frequent_1").alias("frequent_1"), F.first("frequent").alias("frequent"))
-    pairs = counted.where(_enough(F.col("rare") + _common("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity)).select(F.least("v", "v_1").alias("a"), F.greatest("v", "v_1").alias("b"))
+    counted = both.groupBy("v_1", "v", "n_1", "n", "f_1", "f").agg(F.count(F.lit(1)).alias("rare"))
+    near = stored(counted.where(_enough(F.col("rare") + F.least("f", "f_1"), F.col("n") + F.col("n_1"), similarity)).select("v_1", "v", "n_1", "n", "rare"), "near")
+    parts = known.select("v", "frequent")
+    near = near.join(parts, "v").join(parts.select(F.col("v").alias("v_1"), F.col("frequent").alias("frequent_1")), "v_1")
+    pairs = near.where(_enough(F.col("rare") + _common("frequent", "frequent_1"), F.col("n") + F.col("n_1"), similarity)).select(F.least("v", "v_1").alias("a"), F.greatest("v", "v_1").alias("b"))
 
     placed = members.select("key", "v").join(known.select("v", "n", "frequent"), "v")
     least = placed.groupBy("key").agg(F.min("n").alias("least"))
@@ -355,11 +357,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, miss:
     bands = _bands(classes)
     buckets = stored(bands.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b"), "buckets")
     shared = stored(bands.join(buckets.where("size > 2").select("key", "size"), "key"), "shared")
-    # pivots are the members that meet most others: among near copies, those with the fewest edits of their own
+    # the pivot is the member that meets most others: among near copies, one with few edits of its own
     weight = shared.groupBy("v").agg(F.sum("size").alias("weight"))
     members = stored(shared.join(weight, "v").select("key", "v", "weight"), "members")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "v"))
-    pivots = members.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("key", F.col("v").alias("p"))
+    pivots = members.groupBy("key").agg(F.max(F.struct("weight", "v")).alias("top")).select("key", F.col("top.v").alias("p"))
     stars = members.join(pivots, "key").where("v <> p").select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b"))
     pairs = buckets.where("size = 2").select("a", "b").unionByName(stars).distinct()
 
