@@ -56,14 +56,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """
     head = "WARC/1.1" + CRLF
     text = spark.read.option("lineSep", CRLF * 2 + head).text(path).where(F.length("value") > 0)
-    value = F.regexp_replace(F.regexp_replace(F.col("value"), f"^{head}", ""), f"(?:{CRLF}){{2}}\\z", "")
-    parts = text.select(value.alias("v")).select(F.substring_index("v", CRLF * 2, 1).alias("h"), F.expr(f"substring(v, instr(v, '{CRLF * 2}') + 4)").alias("html"))
+    value = F.regexp_replace("value", f"^{head}", "")  # the first record of a file keeps its head
+    parts = text.select(value.alias("v")).select(F.substring_index("v", CRLF * 2, 1).alias("h"), F.expr(f"substring(v, instr(v, '{CRLF * 2}') + 4)").alias("rest"))
 
     def field(name: str) -> Column:
         return F.regexp_extract("h", f"(?m)^{name}: (.*?)\\r?$", 1)
 
-    ident = F.regexp_extract("h", "<urn:page:(-?[0-9]*)>", 1)
-    return parts.select(F.when(ident != "", ident).cast("long").alias("id"), field("WARC-Target-URI").alias("url"), "html", (field("Content-Length").cast("long") == F.octet_length("html")).alias("valid"))
+    ident, length = F.regexp_extract("h", "<urn:page:(-?[0-9]*)>", 1), field("Content-Length").cast("int")
+    body = F.decode(F.substring(F.encode("rest", "UTF-8"), F.lit(1), length), "UTF-8")
+    # the last record of a file keeps its closing lines
+    valid = F.octet_length("rest").isin(length, length + 4)
+    return parts.select(F.when(ident != "", ident).cast("long").alias("id"), field("WARC-Target-URI").alias("url"), body.alias("html"), valid.alias("valid"))
 
 
 def leaves(records: DataFrame) -> DataFrame:
