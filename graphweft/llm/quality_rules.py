@@ -13,11 +13,12 @@ from graphweft.llm.common import cut, row_key, table
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
 WINDOW = 3
-#: Metric -> (ratio, widths of spread from the upper quartile, least distance from it). High values are bad.
+#: Metric -> (ratio, widths of spread from the upper quartile, least distance from it). High values are bad. One repeated
+#: line among three is no sign of a bad text, so repeats have a wide least distance.
 METRICS = {
     "symbol_ratio": ("n_symbols / word_chars", 6.0, 0.05),
-    "dup_line_ratio": ("n_dup_lines / n_word_lines", 6.0, 0.15),
-    "repeat_ratio": ("n_repeat_words / n_words", 6.0, 0.15),
+    "dup_line_ratio": ("n_dup_lines / n_word_lines", 6.0, 0.4),
+    "repeat_ratio": ("n_repeat_words / n_words", 6.0, 0.35),
 }
 #: Quantiles that the sketches give: the middle half's edges.
 LOW, HIGH = 0.25, 0.75
