@@ -246,10 +246,33 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _words_sql(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_words_sql("text")} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql("text")} AS ws FROM benchmark),
+k AS (SELECT item, ws, least(10, len(ws)) AS z, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item, z, array_to_string(ws[i:i + z - 1], ' ') AS w FROM k),
+sizes AS (SELECT DISTINCT z FROM win),
+places AS (SELECT doc_id, ws, z, unnest(range(1, len(ws) - z + 2)) AS i FROM d, sizes WHERE len(ws) >= z),
+hit AS (SELECT a.doc_id, a.i, a.z, win.item FROM places a JOIN win ON win.z = a.z AND win.w = array_to_string(a.ws[a.i:a.i + a.z - 1], ' ')),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + z)) AS p FROM (SELECT DISTINCT doc_id, i, z FROM hit)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(items.list, '')) AS items_sha256, pos.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = 10) -> dict:
     """doc id -> (n_words, n_hit, items_sha256), by comparing every window with every place."""
     import re
