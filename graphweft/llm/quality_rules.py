@@ -119,3 +119,35 @@ def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    names = list(METRICS)
+    quartiles = ", ".join(f"quantile_disc({m}, {LOW}) AS lo_{m}, quantile_disc({m}, {HIGH}) AS hi_{m}" for m in names)
+    most = ", ".join(f"hi_{m} + greatest({w} * (hi_{m} - lo_{m}), {least}) AS {m}" for m, (_, w, least) in METRICS.items())
+    pick = ", ".join(f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.{m} WHEN l.n >= {LEAST_ROWS} THEN l.{m} ELSE a.{m} END AS most_{m}" for m in names)
+    over = " OR ".join(f"coalesce(r.{m} > most_{m}, false)" for m in names)
+    ratios = ", ".join(f"CASE WHEN NOT base_failed THEN CAST({e.split(' / ')[0]} AS DOUBLE) / nullif({e.split(' / ')[1]}, 0) END AS {m}" for m, (e, _, _) in METRICS.items())
+    return rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wl AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT doc_id, count(*) AS n_word_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM wl GROUP BY 1),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY 1),
+m AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_word_lines, 0) AS n_word_lines,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+r AS (SELECT *, {ratios} FROM f),
+g AS (SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, {quartiles} FROM r WHERE NOT base_failed GROUP BY ROLLUP (lang, source)),
+h AS (SELECT lang, source, level, n, {most} FROM g),
+k AS (SELECT o.lang, o.source, {pick} FROM h o JOIN h l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang JOIN h a ON a.level = 3 WHERE o.level = 0)
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept
+FROM r LEFT JOIN k ON k.lang IS NOT DISTINCT FROM r.lang AND k.source IS NOT DISTINCT FROM r.source
+"""
+
+
+#: Quartiles of this SQL are exact; so are the sketches' while a group has fewer rows than ACCURACY.
+ORACLE = _oracle()

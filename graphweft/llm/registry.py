@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_warc_audit": warc.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op9_warc_audit": warc.ORACLE}
