@@ -32,7 +32,7 @@ MISS = 1e-6
 #: Members of a star that one group streams past its pivot.
 STAR = 1024
 #: Members outside a bucket's main component that are compared with all of it in one round.
-FEW = 128
+FEW = 1024
 #: A shingle with more owners than this, among the classes of open buckets, counts as frequent.
 RARE = 32
 #: Parts that frequent shingles are counted in: two classes share at most the sum of the lesser counts.
