@@ -20,8 +20,9 @@ METRICS = {
     "dup_line_ratio": ("n_dup_lines / n_word_lines", 6.0, 0.4),
     "repeat_ratio": ("n_repeat_words / n_words", 6.0, 0.35),
 }
-#: Quantiles that the sketches give: the middle half's edges.
+#: Quantiles that the sketches give: the middle half's edges, and its centre.
 LOW, HIGH = 0.25, 0.75
+CENTRE = 0.5
 #: A group with fewer documents takes the thresholds of its language, and that of all documents.
 LEAST_ROWS = 100
 ACCURACY = 2000
@@ -71,20 +72,29 @@ def thresholds(metrics: DataFrame, group: tuple[str, str] = ("lang", "source"))
 
     The sketches of a group, of its language and of all documents come from one rollup; partial sketches are
     merged before the shuffle, so a source with a third of all rows is not hot.
+
+    Bad rows must not widen the limit that judges them. So the upper quartile is no farther from the median than the
+    lower one, which holds while fewer than half of the rows are bad; and no group's limit is above those of its
+    language and of all documents, whatever its share of bad rows.
     """
     lang, source = group
-    parts = [F.percentile_approx(m, F.array(F.lit(LOW), F.lit(HIGH)), ACCURACY).alias(f"q_{m}") for m in METRICS]
+    parts = [F.percentile_approx(m, F.array(F.lit(LOW), F.lit(CENTRE), F.lit(HIGH)), ACCURACY).alias(f"q_{m}") for m in METRICS]
     levels = metrics.select(F.col(f"`{lang}`").alias("g_lang"), F.col(f"`{source}`").alias("g_source"), *METRICS).rollup("g_lang", "g_source")
     levels = levels.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *parts)
     for m, (_, widths, least) in METRICS.items():
         q = F.col(f"q_{m}")
-        levels = levels.withColumn(f"most_{m}", q[1] + F.greatest(widths * (q[1] - q[0]), F.lit(least)))
+        high = F.least(q[2], 2 * q[1] - q[0])
+        levels = levels.withColumn(f"most_{m}", high + F.greatest(widths * (high - q[0]), F.lit(least)))
     levels = cut(levels.select("g_lang", "g_source", "level", "n", *[f"most_{m}" for m in METRICS]))
     own = levels.where("level = 0")
     langs = levels.where("level = 1").select(F.col("g_lang").alias("l_lang"), F.col("n").alias("l_n"), *[F.col(f"most_{m}").alias(f"l_{m}") for m in METRICS])
     whole = levels.where("level = 3").select(F.lit(1).alias("a_key"), *[F.col(f"most_{m}").alias(f"a_{m}") for m in METRICS])
     out = own.join(langs, own.g_lang.eqNullSafe(langs.l_lang), "left").withColumn("o_key", F.lit(1)).join(whole, F.col("o_key") == F.col("a_key"), "left")
-    few = [F.when(F.col("n") >= LEAST_ROWS, F.col(f"most_{m}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{m}")).otherwise(F.coalesce(F.col(f"a_{m}"), F.col(f"most_{m}"))).alias(f"most_{m}") for m in METRICS]
+    few = []
+    for m in METRICS:
+        # least() skips nulls, so a level of too few rows bounds nothing; the whole bounds whatever its size
+        own_, lang_ = F.when(F.col("n") >= LEAST_ROWS, F.col(f"most_{m}")), F.when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{m}"))
+        few.append(F.coalesce(F.least(own_, lang_, F.col(f"a_{m}")), F.col(f"most_{m}")).alias(f"most_{m}"))
     return out.select("g_lang", "g_source", *few)
 
 
@@ -94,7 +104,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     A text fails the base with fewer than `min_words` words (a null or empty text has none), or when more than half
     of its words lie in repeated windows. Else it is kept unless a metric exceeds the threshold of its language and
     source: the upper quartile of those that pass the base, plus six times the spread of the middle half (or a
-    least distance, so that even groups cut nothing). Null languages and sources are groups of their own. Ties are
+    least distance, so that even groups cut nothing), within the bounds that thresholds() states. Null languages and sources are groups of their own. Ties are
     kept; rows that repeat count each; an empty table stays empty.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").alias("text"))
@@ -149,5 +159,7 @@ FROM r LEFT JOIN k ON k.lang IS NOT DISTINCT FROM r.lang AND k.source IS NOT DIS
 """
 
 
-#: Quartiles of this SQL are exact; so are the sketches' while a group has fewer rows than ACCURACY.
+#: Quartiles of this SQL are exact; so are the sketches' while a group has fewer rows than ACCURACY. It has no bounds on
+#: a group's limit, so it keeps more where those bind: in groups whose upper quartile strays farther from the median
+#: than the lower one, or whose limit is above that of their language or of all documents.
 ORACLE = _oracle()

@@ -118,6 +118,21 @@ def test_quality_rules_counts(spark):
     assert (r[1].n_words, r[1].word_chars, r[1].n_repeat_words) == (0, 0, 0)
 
 
+def test_quality_rules_of_a_bad_source(spark):
+    """Bad texts are dropped however many of their source they are."""
+    r = random.Random(8)
+    rows = []
+    for source, n, bad in (("third", 1000, 350), ("most", 300, 270), ("good", 1700, 0)):
+        for k in range(n):
+            text = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) + ("#$%" * r.randint(1, 2) if k < bad and r.random() < 0.9 else "") for _ in range(55))
+            rows.append((len(rows), text, "en", source, k < bad))
+    alone = rows[:1000]
+    for part in (rows, alone):
+        out = {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(part, "doc_id long, text string, lang string, source string, bad boolean")).collect()}
+        assert not any(x.base_failed for x in out.values())
+        assert [d for d, _, _, _, bad in part if out[d].kept == bad] == []
+
+
 def test_quality_model(spark, docs, none):
     r = random.Random(1)
     rows = [(k, words(r, 80) if k % 3 else "spam $$$ " * 40) for k in range(300)]
