@@ -138,7 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for block in text_blocks(batches, "text"):
             good = has_letter(block.column("text").to_pylist())
             counts = ngram_counts(block.column("text"))
-            packed = [c.astype(np.float16).tobytes() if g else b"" for c, g in zip(counts, good, strict=True)]
+            packed = [c.tobytes() if g else b"" for c, g in zip(counts, good, strict=True)]
             yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(packed, pa.binary())], ["lang", "counts"])
 
     by: dict[str, list] = {}
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             by.setdefault(r.lang, []).append(bytes(r.counts))
     names = sorted(by)
     # in a fixed order, whatever order tasks end in
-    return Model(idf, names, [vectors(np.vstack([np.frombuffer(c, np.float16).astype(np.float32) for c in sorted(by[x])[:per_language]]), idf) for x in names])
+    return Model(idf, names, [vectors(np.vstack([np.frombuffer(c, np.float32) for c in sorted(by[x])[:per_language]]), idf) for x in names])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

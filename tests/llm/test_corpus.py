@@ -244,6 +244,18 @@ def test_language_id(spark, docs, none):
     assert {x.lang_pred for x in language_id.predict(docs, empty).collect()} == {"und"}
 
 
+def test_language_id_of_a_long_text(spark):
+    """One n-gram that occurs more often than a half-precision number can tell."""
+    r = random.Random(9)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(k, make("abcdef" if k % 2 else "mnopqr", 40), "x" if k % 2 else "y") for k in range(60)] + [(60, make("abcdef", 500) * 800, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(table)
+    assert np.isfinite(model.centroids).all() and np.isfinite(model.least).all()
+    got = language_id.predict(table, model).collect()
+    assert all(x.lang_pred == x.lang and 0 < x.score <= 1 and not x.rejected for x in got)
+
+
 def test_pipeline(spark):
     """run() against its stages' brute-force versions on the smallest tables."""
     import corpus_pipeline as c
