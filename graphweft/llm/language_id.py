@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,15 @@ SIZES = (1, 2, 3)
 #: Documents of a language that its centroids are fitted on, at most.
 TRAIN_PER_LANGUAGE = 400
 CENTROIDS = 4
-#: A text is rejected when its best cosine is less than this share of the lowest percentile in training.
-REJECT_SHARE = 0.35
+#: Lengths in characters of the pieces of training texts from which short texts' cosines are learned.
+PIECES = (4, 12, 32, 100, 300, 1000)
+#: Quantiles of the cosines of a language's own texts and of those of others, between which its bound lies.
+OWN_LOW, OTHER_HIGH = 0.01, 0.99
+#: A bound that the two quantiles do not enclose is this share of the lower one.
+SLACK = 0.8
+#: Bounds go by the number of known n-grams, in steps of a factor of two; one with fewer texts takes the next shorter's.
+LEVELS = BUCKETS.bit_length() + 1
+LEAST_TEXTS = 20
 #: Counts are taken in blocks of this many documents.
 ROWS = 256
 
@@ -85,16 +93,56 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
+def unpack(packed: list[bytes], idf: np.ndarray) -> np.ndarray:
+    return vectors(np.vstack([np.frombuffer(zlib.decompress(c), np.float32) for c in packed]), idf)
+
+
+def level(v: np.ndarray) -> np.ndarray:
+    """The binary order of the number of n-grams of each text; a text that repeats few words is as good as short."""
+    return np.ceil(np.log2(1 + np.count_nonzero(v, axis=1))).astype(np.int64)
+
+
 class Model:
-    def __init__(self, idf: np.ndarray, names: list[str], rows: list[np.ndarray]):
-        """rows: training vectors of each language."""
+    def __init__(self, idf: np.ndarray, names: list[str], rows: list[list[bytes]], pieces: list[list[list[bytes]]]):
+        """rows: packed training counts of each language; pieces: those of pieces of each row."""
         self.idf, self.names = idf, names
-        kept = [cluster(v, CENTROIDS) for v in rows]
+        kept, halves = [], []
+        for own in rows:
+            v = unpack(own, idf)
+            kept.append(cluster(v, CENTROIDS))
+            halves.append([cluster(v[1 - h :: 2], CENTROIDS) if len(v) > 1 else kept[-1] for h in (0, 1)])
         self.centroids = np.vstack(kept) if kept else np.zeros((0, BUCKETS), np.float32)
         self.owner = np.repeat(np.arange(len(kept)), [len(c) for c in kept]) if kept else np.zeros(0, np.int64)
-        self.least = np.array([REJECT_SHARE * np.quantile((v @ c.T).max(1), 0.01) for v, c in zip(rows, kept, strict=True)])
+        self.least = self.bounds(kept, halves, rows, pieces)
         self.usual = int(np.argmax([len(v) for v in rows])) if rows else 0
 
+    def bounds(self, kept: list[np.ndarray], halves: list[list[np.ndarray]], rows: list[list[bytes]], pieces: list[list[list[bytes]]]) -> np.ndarray:
+        """The least cosine of a text of each language and level.
+
+        Texts of a language meet the centroids of the half of its rows that they are not in, and all of other languages'.
+        """
+        own, other = [[] for _ in kept], [[] for _ in kept]
+        for k, (full, parts) in enumerate(zip(rows, pieces, strict=True)):
+            for h in (0, 1):
+                some = [x for c, p in zip(full[h::2], parts[h::2], strict=True) for x in (c, *p)]
+                for at in range(0, len(some), ROWS):
+                    v = unpack(some[at : at + ROWS], self.idf)
+                    at_level = level(v)
+                    for j, c in enumerate(kept):
+                        (own if j == k else other)[j].append((at_level, (v @ (halves[k][h] if j == k else c).T).max(1)))
+        out = np.zeros((len(kept), LEVELS))
+        for k in range(len(kept)):
+            (size, cos), apart = (np.hstack(x) for x in zip(*own[k], strict=True)), [np.hstack(x) for x in zip(*other[k], strict=True)]
+            for n in range(1, LEVELS):
+                if (size == n).sum() < LEAST_TEXTS:
+                    out[k, n] = out[k, n - 1]
+                    continue
+                low = np.quantile(cos[size == n], OWN_LOW)
+                far = apart[1][apart[0] == n] if apart else cos[:0]
+                high = np.quantile(far, OTHER_HIGH) if len(far) >= LEAST_TEXTS else 0.0
+                out[k, n] = (low + high) / 2 if 0 < high < low else SLACK * low
+        return out
+
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language, cosine with its nearest centroid, and whether that is too far."""
         v = vectors(counts, self.idf)
@@ -102,7 +150,7 @@ class Model:
         best = np.argmax(cos, 1)
         score = np.clip(cos[np.arange(len(cos)), best].astype(np.float64), 0, 1)
         own = np.where(score > 0, self.owner[best], self.usual)
-        return own, score, score < self.least[own]
+        return own, score, score < self.least[own, level(v)]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
@@ -134,27 +182,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # bounded: per_language ids for each language
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), text, F.col(f"`{lang_col}`").alias("lang")).join(F.broadcast(chosen), "id").select("text", "lang")
 
+    def pack(counts: np.ndarray) -> bytes:
+        return zlib.compress(counts.tobytes(), 1)
+
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text"):
             good = has_letter(block.column("text").to_pylist())
             counts = ngram_counts(block.column("text"))
-            packed = [c.tobytes() if g else b"" for c, g in zip(counts, good, strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(packed, pa.binary())], ["lang", "counts"])
+            packed = [pack(c) if g else b"" for c, g in zip(counts, good, strict=True)]
+            # from the middle, as texts may begin alike
+            cuts = [[t[(len(t) - n) // 2 :][:n] for n in PIECES if n < len(t)] if g else [] for t, g in zip(block.column("text").to_pylist(), good, strict=True)]
+            parts = [[pack(c) for c in ngram_counts(pa.array(x, pa.string())) if c.any()] for x in cuts]
+            yield pa.RecordBatch.from_arrays([block.column("lang"), pa.array(packed, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], ["lang", "counts", "parts"])
 
     by: dict[str, list] = {}
-    for r in rows.mapInArrow(vectorise, "lang string, counts binary").collect():
+    for r in rows.mapInArrow(vectorise, "lang string, counts binary, parts array<binary>").collect():
         if r.counts:
-            by.setdefault(r.lang, []).append(bytes(r.counts))
+            by.setdefault(r.lang, []).append((bytes(r.counts), [bytes(p) for p in r.parts]))
     names = sorted(by)
     # in a fixed order, whatever order tasks end in
-    return Model(idf, names, [vectors(np.vstack([np.frombuffer(c, np.float32) for c in sorted(by[x])[:per_language]]), idf) for x in names])
+    chosen = [sorted(by[x])[:per_language] for x in names]
+    return Model(idf, names, [[c for c, _ in x] for x in chosen], [[p for _, p in x] for x in chosen])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs` with lang_pred, score and rejected (these replace columns of those names).
 
     A text that is null or has no letter gets `und`, 0 and true. Else lang_pred is the language of the nearest
-    centroid and score its cosine; rejected tells that even this one is far off. A text without any known n-gram
+    centroid and score its cosine; rejected tells that even this one is farther than texts of that language and as
+    many n-grams are. A text without any known n-gram
     gets the most usual language, 0 and true. With nothing learned all texts are `und`. Equal cosines go to the
     first language by name. Rows are taken one by one: repeats and ids change nothing.
     """

@@ -256,6 +256,20 @@ def test_language_id_of_a_long_text(spark):
     assert all(x.lang_pred == x.lang and 0 < x.score <= 1 and not x.rejected for x in got)
 
 
+def test_language_id_rejects_by_distance(spark):
+    """Texts of a language that was not learned and random letters go; held-out texts of those learned stay."""
+    r = random.Random(10)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").cache()
+    model = language_id.fit(docs.where(~language_id.held_out() & (F.col("lang") != "fr")))
+    noise = [(-k, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)), "noise") for k, n in enumerate([5, 30, 150, 1000] * 5)]
+    far = {}
+    for x in language_id.predict(docs.where(language_id.held_out() | (F.col("lang") == "fr")).union(spark.createDataFrame(noise, docs.schema)), model).collect():
+        if len(x.text.split()) >= 30 or x.lang == "noise":
+            far.setdefault(x.lang, []).append(x.rejected)
+    assert all(far["noise"]) and np.mean(far["fr"]) > 0.95
+    assert not any(far["en"] + far["de"] + far["es"])
+
+
 def test_pipeline(spark):
     """run() against its stages' brute-force versions on the smallest tables."""
     import corpus_pipeline as c
