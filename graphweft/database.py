@@ -23,7 +23,7 @@ WRITES = {"create", "merge", "set", "remove", "delete"}
 
 @dataclass
 class Result:
-    """df: typed columns under their RETURN texts. It is lazy: reading queries start no job."""
+    """df: typed columns under their RETURN texts. It is lazy: only walks of over two hops and calls start jobs."""
 
     df: DataFrame | None
     columns: list[tuple[str, Any]]
@@ -90,6 +90,7 @@ class Database:
         for query in parse(text):
             for kind, branch in query:
                 compiler = Compiler(self.graph, params, self.procedures)
+                compiler.dry = True
                 if any(c.kind in WRITES for c in branch):
                     lines += [c.kind.capitalize() for c in branch]
                 else:

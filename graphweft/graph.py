@@ -31,6 +31,20 @@ def _empty(spark: SparkSession, base: dict) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField(k, T._parse_datatype_string(t)) for k, t in base.items()]))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """What is known of a graph made from tables, while its frames are these.
+
+    ends: the labels at both ends of each type. owned: for types whose relationships lie in the rows of one of their
+    nodes, which end that is, and a frame of both (the node's columns begin with own_).
+    """
+
+    nodes: DataFrame
+    rels: DataFrame
+    ends: dict[str, tuple[str, str]]
+    owned: dict[str, tuple[str, DataFrame]]
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """nodes: id, labels, nulls (keys present as null), ext (external id), p_<key>...; rels: id, src, dst, type, nulls, p_<key>...
@@ -45,6 +59,13 @@ class PropertyGraph:
     mixed: frozenset = frozenset()  # ("node" or "rel", key)
     constraints: tuple = ()  # ("require" or "unique", label or None, key)
     indexes: tuple = ()  # (label or None, key)
+    shape: Shape | None = None
+
+    @property
+    def known_shape(self) -> Shape | None:
+        """None once a write has changed the graph."""
+        s = self.shape
+        return s if s is not None and s.nodes is self.nodes and s.rels is self.rels else None
 
     @property
     def spark(self) -> SparkSession:

@@ -10,13 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweft.errors import parse_error
 from graphweft.functions.expressions import Binder, Typed
 from graphweft.graph import P, PropertyGraph, q
 from graphweft.plans.parser import AGGREGATES, Item, NodePattern, Path, Projection, RelPattern, has_aggregate, references
+from graphweft.runtime import cut
 from graphweft.values import as_json, literal, spark_type, unify
 
 
@@ -24,6 +26,7 @@ from graphweft.values import as_json, literal, spark_type, unify
 class Var:
     kind: str  # node, rel, value, path
     type: Any = None
+    nullable: bool = False  # an entity that an OPTIONAL MATCH may leave out
 
     @property
     def is_entity(self) -> bool:
@@ -35,6 +38,7 @@ class Frame:
     df: DataFrame
     scope: dict[str, Var] = field(default_factory=dict)
     order: tuple = ()  # (column name, ascending)
+    halves: Halves | None = None
 
     def columns_of(self, var: str) -> list[str]:
         v = self.scope[var]
@@ -50,16 +54,80 @@ class Frame:
         return self.df.orderBy(*sort_columns(self.order)) if self.order else self.df
 
 
+@dataclass(frozen=True)
+class Halves:
+    """How the rows of one MATCH came to be: those before it, joined by nodes that both know with those of its pattern."""
+
+    whole: DataFrame  # holds only while it is the frame's
+    left: Frame
+    known: tuple[str, ...]
+    paths: list[Path]
+    where: tuple | None  # of the pattern alone
+
+
+def falling(c: Column, t: T.DataType) -> Column:
+    """What sorts upwards as a value that is not null sorts downwards."""
+    if isinstance(t, T.BooleanType):
+        return ~c
+    if isinstance(t, T.IntegralType):
+        return F.bitwise_not(c)
+    if isinstance(t, T.FractionalType):
+        return F.struct(~F.isnan(c), -c)
+    if isinstance(t, T.ArrayType):
+        # a list goes before those that it begins
+        parts = F.transform(c, lambda x: F.struct(F.lit(0).alias("end"), *_rising(x, t.elementType, False)))
+        return F.concat(parts, F.array(F.struct(F.lit(1).alias("end"), *[F.lit(None).alias(f"c{k}") for k in range(2)])))
+    digits = "0123456789ABCDEF"
+    text = c if isinstance(t, T.StringType) else F.to_json(c)
+    return F.concat(F.translate(F.hex(F.encode(text, "UTF-8")), digits, digits[::-1]), F.lit("G"))
+
+
+def _rising(c: Column, t: T.DataType, up: bool) -> list[Column]:
+    """Two columns that sort upwards as one sorts in its own direction: nulls last ascending, first descending."""
+    null = c.isNull()
+    return [(null if up else ~null).alias("c0"), (c if up else falling(c, t)).alias("c1")]
+
+
 def sort_columns(order: tuple) -> list[Column]:
     """Nulls last ascending, first descending."""
     return [q(c).asc_nulls_last() if up else q(c).desc_nulls_first() for c, up in order]
 
 
+@dataclass(frozen=True)
+class Aggregate:
+    alias: str
+    name: str
+    distinct: bool
+    value: Column | None  # none for count(*)
+    names: frozenset  # variables of the value
+    whole: Column  # over the rows themselves
+
+    def function(self):
+        if self.distinct:
+            return {"count": F.count_distinct, "sum": F.sum_distinct, "avg": lambda c: F.sum_distinct(c) / F.count_distinct(c)}[self.name]
+        return {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[self.name]
+
+    def parts(self) -> list:
+        """Aggregates of one side, from which joined() makes those of the join."""
+        return [F.sum, F.count] if self.name == "avg" else [self.function()]
+
+    def joined(self, weight: Column) -> Column:
+        part = {f: q(f"{self.alias}_{f}") for f in ("count", "sum", "min", "max")}
+        if self.name == "avg":
+            return F.sum(part["sum"] * weight) / F.sum(part["count"] * weight)
+        if self.name == "count":
+            return F.coalesce(F.sum(part["count"] * weight), F.lit(0))
+        return F.sum(part["sum"] * weight) if self.name == "sum" else self.function()(part[self.name])
+
+
 class Compiler:
     def __init__(self, graph: PropertyGraph, params: dict | None = None, procedures: dict | None = None):
         self.graph, self.params, self.procedures = graph, params or {}, procedures or {}
         self.steps: list[str] = []
         self.fresh = 0
+        self.dry = False  # only the steps are wanted: start no job
+        self.labels: dict[str, set[str]] = {}  # what the shape of the graph tells of a node's label
+        self.taken: str | None = None  # a relationship that came with its owner's scan
 
     def name(self, what: str = "o") -> str:
         self.fresh += 1
@@ -106,6 +174,45 @@ class Compiler:
             return back
         return out.unionByName(back.where(F.col(f"near_{var}") != F.col(f"far_{var}")))
 
+    def owned(self, rel: RelPattern, node: NodePattern, near: bool) -> DataFrame | None:
+        """A relationship and the node that owns it (kept in the same row of a table) in one scan: no join of the two."""
+        shape = self.graph.known_shape
+        if shape is None or rel.type not in shape.owned or rel.length is not None or rel.direction == "both":
+            return None
+        end, wide = shape.owned[rel.type]
+        if node.label not in (None, shape.ends[rel.type][0 if end == "src" else 1]) or (end == ("src" if rel.direction == "out" else "dst")) != near:
+            return None
+        ends = ("src", "dst") if rel.direction == "out" else ("dst", "src")
+        rels = [q(c).alias(f"v_{rel.var}_{c}") for c in self.graph.rels.columns if c in ("id", "type", "src", "dst") or c.startswith(P)]
+        nodes = [q(f"own_{c}").alias(f"v_{node.var}_{c}") for c in self.graph.nodes.columns if c in ("id", "labels") or c.startswith(P)]
+        return wide.select(*rels, *nodes, *[q(c).alias(f"{side}_{rel.var}") for c, side in zip(ends, ("near", "far"), strict=True)])
+
+    def steps_of(self, rel: RelPattern) -> set[tuple[str, str, str]] | None:
+        """(type, label, label) that one hop may take, in its direction."""
+        shape = self.graph.known_shape
+        if shape is None:
+            return None
+        out = {(t, a, b) for t, (a, b) in shape.ends.items() if rel.type in (None, t)}
+        back = {(t, b, a) for t, a, b in out}
+        return out if rel.direction == "out" else back if rel.direction == "in" else out | back
+
+    def hops(self, rel: RelPattern, near: str, target: set[str] | None) -> list[set[str]] | None:
+        """Types that each hop of a walk may take: those that leave what it reached and can still end in time."""
+        steps = self.steps_of(rel)
+        if steps is None:
+            return None
+        high = rel.length[1]
+        every = {x for _, a, b in steps for x in (a, b)}
+        ends = [target & every if target else every]
+        for _ in range(high):
+            ends.append(ends[-1] | {a for _, a, b in steps if b in ends[-1]})
+        here, out = self.labels.get(near) or every, []
+        for k in range(1, high + 1):
+            now = {(t, b) for t, a, b in steps if a in here and b in ends[high - k]}
+            out.append({t for t, _ in now})
+            here = {b for _, b in now}
+        return out
+
     def has(self, df: DataFrame, frame: Frame, prefix: str, kind: str, props: list) -> Column | None:
         """Equality with each entry of a property map; the values may use the frame's variables."""
         cond = None
@@ -123,18 +230,30 @@ class Compiler:
     # patterns
     def pattern(self, frame: Frame, path: Path, used: list[Column]) -> Frame:
         """Expand a path. used: relationship ids (columns) that one MATCH has taken; none is taken twice."""
-        first = path.nodes[0]
-        frame = self.bind_node(frame, first)
+        frame = self.bind_node(frame, path.nodes[0], path.rels[0] if path.rels else None)
         hops: list[tuple[str, bool]] = []
-        for rel, node in zip(path.rels, path.nodes[1:], strict=True):
-            frame = self.expand(frame, self.here, rel, node, used)
+        for rel, node, ahead in zip(path.rels, path.nodes[1:], [*path.rels, None][1:], strict=True):
+            frame = self.expand(frame, self.here, rel, node, used, ahead)
             hops.append((self.hop, rel.length is not None))
         if path.var is not None:
             frame = self.bind_path(frame, path, hops)
         return frame
 
-    def bind_node(self, frame: Frame, node: NodePattern) -> Frame:
-        self.here = node.var
+    def scan(self, node: NodePattern, ahead: RelPattern | None) -> DataFrame:
+        """Rows of a new node, and of the relationship ahead where the node owns it."""
+        wide = self.owned(ahead, node, True) if ahead is not None and ahead.var not in self.bound else None
+        self.taken = ahead.var if wide is not None else None
+        if wide is not None:
+            return wide
+        known = self.labels.get(node.var)
+        return self.nodes(node.var, next(iter(known)) if node.label is None and known is not None and len(known) == 1 else node.label)
+
+    def bind_node(self, frame: Frame, node: NodePattern, ahead: RelPattern | None = None) -> Frame:
+        self.here, self.taken, self.bound = node.var, None, frame.scope
+        if node.var not in frame.scope:
+            self.labels.pop(node.var, None)
+        if node.label is not None and self.graph.known_shape is not None:
+            self.labels[node.var] = {node.label}
         self.steps.append(f"NodeScan({node.label or '*'})" if node.var not in frame.scope else f"Bound({node.var})")
         if node.var in frame.scope:
             if frame.scope[node.var].kind != "node":
@@ -144,21 +263,31 @@ class Compiler:
                 df = df.where(F.array_contains(q(f"v_{node.var}_labels"), node.label))
             cond = self.has(df, frame, f"v_{node.var}_", "node", node.props)
             return replace(frame, df=df if cond is None else df.where(cond))
-        scan = self.nodes(node.var, node.label)
         scope = frame.scope | {node.var: Var("node")}
-        cond = self.has(scan, frame, f"v_{node.var}_", "node", node.props)
         alone = not frame.scope and not frame.order
+        if alone and node.anonymous and node.label is None and not node.props and ahead is not None and ahead.length is None and ahead.direction != "both":
+            # ends always exist: begin with the relationships
+            rels, self.taken = self.rels(ahead.var, ahead.type, ahead.direction), ahead.var
+            return Frame(rels.withColumn(f"v_{node.var}_id", q(f"near_{ahead.var}")), scope, ((f"v_{node.var}_id", True),))
+        scan = self.scan(node, ahead)
+        cond = self.has(scan, frame, f"v_{node.var}_", "node", node.props)
         if alone and cond is not None:
             scan = scan.where(cond)
         df = scan if alone else frame.df.crossJoin(scan) if cond is None else frame.df.join(scan, cond)
         return Frame(df, scope, (*frame.order, (f"v_{node.var}_id", True)))
 
-    def expand(self, frame: Frame, near: str, rel: RelPattern, node: NodePattern, used: list[Column]) -> Frame:
+    def expand(self, frame: Frame, near: str, rel: RelPattern, node: NodePattern, used: list[Column], ahead: RelPattern | None = None) -> Frame:
         if rel.var in frame.scope:
             raise parse_error(f"{rel.var} is bound already")
         self.steps.append(f"{'VarExpand' if rel.length else 'Expand'}({rel.type or '*'}, {rel.direction})")
-        frame = self.expand_long(frame, near, rel, used) if rel.length else self.expand_one(frame, near, rel, used)
+        wide = self.owned(rel, node, False) if node.var not in frame.scope and self.taken != rel.var else None
+        if node.var not in frame.scope:
+            self.labels.pop(node.var, None)
+        if node.label is not None and self.graph.known_shape is not None:
+            self.labels[node.var] = {node.label}
+        frame = self.expand_long(frame, near, rel, node, used) if rel.length else self.expand_one(frame, near, rel, used, wide)
         far = q(f"far_{rel.var}")
+        self.bound, self.taken = frame.scope, None
         self.hop = rel.var
         self.here = node.var
         if node.var in frame.scope:
@@ -168,48 +297,73 @@ class Compiler:
             frame = replace(frame, df=df if node.label is None else df.where(F.array_contains(q(f"v_{node.var}_labels"), node.label)))
             cond = self.has(frame.df, frame, f"v_{node.var}_", "node", node.props)
             frame = frame if cond is None else replace(frame, df=frame.df.where(cond))
+        elif wide is not None:
+            more = self.has(wide, frame, f"v_{node.var}_", "node", node.props)
+            frame = Frame(frame.df if more is None else frame.df.where(more), frame.scope | {node.var: Var("node")}, frame.order)
         elif node.anonymous and node.label is None and not node.props:
             # ends always exist: no join
             frame = Frame(frame.df.withColumn(f"v_{node.var}_id", far), frame.scope | {node.var: Var("node")}, frame.order)
         else:
-            scan = self.nodes(node.var, node.label)
+            scan = self.scan(node, ahead)
             cond = far == q(f"v_{node.var}_id")
             more = self.has(scan, frame, f"v_{node.var}_", "node", node.props)
             df = frame.df.join(scan, cond if more is None else cond & more)
             frame = Frame(df, frame.scope | {node.var: Var("node")}, frame.order)
         return replace(frame, order=(*frame.order, (f"v_{node.var}_id", True)))
 
-    def expand_one(self, frame: Frame, near: str, rel: RelPattern, used: list[Column]) -> Frame:
-        rels = self.rels(rel.var, rel.type, rel.direction)
-        cond = q(f"v_{near}_id") == q(f"near_{rel.var}")
+    def expand_one(self, frame: Frame, near: str, rel: RelPattern, used: list[Column], wide: DataFrame | None) -> Frame:
+        steps = self.steps_of(rel)
+        if steps is not None:
+            here = self.labels.get(near)
+            steps = {x for x in steps if here is None or x[1] in here}
+            self.labels.setdefault(self.far_of[rel.var], {b for _, _, b in steps})
+        taken = self.taken == rel.var
+        rels = frame.df if taken else wide if wide is not None else self.rels(rel.var, rel.type, rel.direction)
+        if steps is not None and rel.type is None and not taken:
+            rels = rels.where(q(f"v_{rel.var}_type").isin(*sorted({t for t, _, _ in steps})))
         more = self.has(rels, frame, f"v_{rel.var}_", "rel", rel.props)
-        df = frame.df.join(rels, cond if more is None else cond & more)
+        if taken:
+            df = rels if more is None else rels.where(more)
+        else:
+            cond = q(f"v_{near}_id") == q(f"near_{rel.var}")
+            df = frame.df.join(rels, cond if more is None else cond & more)
         own = q(f"v_{rel.var}_id")
         for ids, many in used:
             df = df.where(~F.array_contains(ids, own) if many else ids != own)
         used.append((own, False))
         return Frame(df, frame.scope | {rel.var: Var("rel")}, (*frame.order, (f"v_{rel.var}_id", True)))
 
-    def expand_long(self, frame: Frame, near: str, rel: RelPattern, used: list[Column]) -> Frame:
-        """Unrolled joins, one a hop; shorter walks come first, and no walk takes a relationship twice."""
+    def expand_long(self, frame: Frame, near: str, rel: RelPattern, node: NodePattern, used: list[Column]) -> Frame:
+        """Unrolled joins, one a hop; shorter walks come first, and no walk takes a relationship twice.
+
+        Walks of over two hops are written hop by hop, so that no hop is computed again by the next.
+        """
         rels = self.rels(rel.var, rel.type, rel.direction)
         cond = self.has(rels, frame, f"v_{rel.var}_", "rel", rel.props)
         free = not rel.props or not any(references(e) for _, e in rel.props)
         if cond is not None and free:
             rels, cond = rels.where(cond), None
-        step = rels.select(q(f"near_{rel.var}").alias("step_near"), q(f"far_{rel.var}").alias("step_far"), q(f"v_{rel.var}_id").alias("step_id"), *([q(c) for c in rels.columns if c.startswith(f"v_{rel.var}_{P}")] if cond is not None else []))
+        step = rels.select(q(f"near_{rel.var}").alias("step_near"), q(f"far_{rel.var}").alias("step_far"), q(f"v_{rel.var}_id").alias("step_id"), q(f"v_{rel.var}_type").alias("step_type"), *([q(c) for c in rels.columns if c.startswith(f"v_{rel.var}_{P}")] if cond is not None else []))
         ids, seen, far = f"walk_{rel.var}", f"seen_{rel.var}", f"far_{rel.var}"
         level = frame.df.withColumns({ids: F.array().cast("array<bigint>"), seen: F.array().cast("array<bigint>"), far: q(f"v_{near}_id")})
         low, high = rel.length
-        out = None
+        out, types = None, self.hops(rel, near, self.labels.get(node.var))
         for depth in range(1, high + 1):
             on = (q(far) == F.col("step_near")) & ~F.array_contains(q(ids), F.col("step_id"))
-            joined = level.join(step, on if cond is None else on & cond)
+            here = step if types is None else step.where(F.col("step_type").isin(*sorted(types[depth - 1])))
+            joined = level.join(here, on if cond is None else on & cond)
             for other, many in used:
                 joined = joined.where(~F.array_contains(other, F.col("step_id")) if many else other != F.col("step_id"))
             level = joined.select(*[q(c) for c in frame.df.columns], F.array_append(q(ids), F.col("step_id")).alias(ids), F.array_append(q(seen), F.col("step_far")).alias(seen), F.col("step_far").alias(far))
+            ended = types is not None and not types[depth - 1]
+            if high > 2 and not self.dry and not ended:
+                level = cut(level)
+                ended = level.isEmpty()
             if depth >= low:
                 out = level if out is None else out.unionByName(level)
+            if ended:
+                break
+        out = level.where("false") if out is None else out
         used.append((q(ids), True))
         length = self.name()
         out = out.withColumn(length, F.size(q(ids)))
@@ -227,12 +381,26 @@ class Compiler:
     def match(self, frame: Frame, paths: list[Path], where: tuple | None, optional: bool) -> Frame:
         if optional:
             return self.optional(frame, paths, where)
-        used: list = []
+        before, used = frame, []
         for path in paths:
+            self.far_of = {r.var: n.var for r, n in zip(path.rels, path.nodes[1:], strict=True)}
             frame = self.pattern(frame, path, used)
         if where is not None:
             frame = replace(frame, df=frame.df.where(self.binder(frame).condition(where)))
-        return self.tidy(frame)
+        out = self.tidy(frame)
+        return replace(out, halves=self.split(before, paths, where, out.df))
+
+    def split(self, left: Frame, paths: list[Path], where: tuple | None, whole: DataFrame) -> Halves | None:
+        """The halves of a MATCH whose pattern needs nothing of the rows before it but some nodes' ids."""
+        known = tuple(dict.fromkeys(n.var for p in paths for n in p.nodes if n.var in left.scope))
+        given = {v for p in paths for x in [*p.nodes, *p.rels] for _, e in x.props for v in references(e)}
+        if not known or given & set(left.scope) or any(p.var or any(r.length for r in p.rels) for p in paths):
+            return None
+        if where is not None and references(where) <= set(left.scope):
+            left, where = replace(left, df=left.df.where(self.binder(left).condition(where))), None
+        if where is not None and references(where) & set(left.scope):
+            return None
+        return Halves(whole, left, known, paths, where)
 
     def tidy(self, frame: Frame) -> Frame:
         """Only named variables and what orders the rows."""
@@ -254,7 +422,7 @@ class Compiler:
         else:
             base = self.start().df
         inner = self.match(Frame(base, {v: frame.scope[v] for v in known}), paths, where, False)
-        new = {v: x for v, x in inner.scope.items() if v not in frame.scope}
+        new = {v: replace(x, nullable=True) for v, x in inner.scope.items() if v not in frame.scope}
         added = [c for v in new for c in inner.columns_of(v)]
         added += [c for c, _ in inner.order if c not in added and c not in columns]
         right = inner.df.select(*[q(k).alias(f"on_{k}") for k in keys], *[q(c) for c in dict.fromkeys(added)])
@@ -290,13 +458,14 @@ class Compiler:
         pos = self.name()
         made = self.procedures[name](self, frame, bound, args, pos)
         types, scope, out = made["types"], dict(frame.scope), made["df"]
+        self.labels.clear()
         for f, alias in fields:
             if f not in types:
                 raise parse_error(f"{name} yields no {f}")
             kind = types[f]
             if kind == "node":
                 out = out.join(self.nodes(alias, None), q(f"y_{f}") == q(f"v_{alias}_id"), "left")
-                scope[alias] = Var("node")
+                scope[alias] = Var("node", nullable=True)
             else:
                 out = out.withColumn(f"v_{alias}", q(f"y_{f}"))
                 scope[alias] = Var("value", kind)
@@ -307,6 +476,7 @@ class Compiler:
     def project(self, frame: Frame, p: Projection) -> tuple[Frame, list[tuple[str, Any]]]:
         """The projected frame, and for RETURN the result columns with their types."""
         seen = set()
+        self.labels.clear()
         for item in p.items:
             if not p.last and not item.aliased and item.expr[0] != "var":
                 raise parse_error(f"{item.name} needs AS")
@@ -358,21 +528,14 @@ class Compiler:
         columns.append((item.name, t))
 
     def _stamp(self, frame: Frame) -> Column:
-        """What sorts as the rows do."""
-        return F.struct(*[q(c) for c, _ in frame.order]) if frame.order else F.struct(F.lit(0))
-
-    def _ascending(self, frame: Frame) -> Frame:
-        """Descending orders are numbered, so that stamps sort upwards."""
-        if all(up for _, up in frame.order):
-            return frame
-        h = self.name()
-        df = frame.df.withColumn(h, F.row_number().over(Window.orderBy(*sort_columns(frame.order))))
-        return Frame(df, frame.scope, ((h, True),))
+        """What sorts upwards as the rows do."""
+        types = {f.name: f.dataType for f in frame.df.schema.fields} if frame.order else {}
+        return F.struct(*[F.struct(*_rising(q(c), types[c], up)) for c, up in frame.order]) if frame.order else F.struct(F.lit(0))
 
     def grouped(self, frame: Frame, p: Projection) -> tuple[Frame, list]:
-        frame = self._ascending(frame)
         bind = self.binder(frame)
-        keys, aggs, scope, columns, final = [], [], {}, [], []
+        self.sure = {v for v, x in frame.scope.items() if x.is_entity and not x.nullable}
+        keys, firsts, made, scope, columns, final = [], [], [], {}, [], []
         stamp = self._stamp(frame)
         for item in p.items:
             e = item.expr
@@ -382,16 +545,14 @@ class Compiler:
                     var = frame.scope[e[1]]
                     for old in frame.columns_of(e[1]):
                         new = f"v_{item.name}_" + old[len(f"v_{e[1]}_") :]
-                        (keys.append(q(old).alias(new)) if old == frame.key(e[1]) else aggs.append(F.first(q(old)).alias(new)))
+                        (keys if old == frame.key(e[1]) else firsts).append((new, q(old)))
                         final.append(q(new))
                     scope[item.name] = var
                     columns.append((item.name, var.kind))
                     continue
-                keys.append(c.alias(f"v_{item.name}"))
+                keys.append((f"v_{item.name}", c))
             else:
-                made: list[Column] = []
                 c, t = self.aggregate(bind, e, stamp, made)
-                aggs += made
                 final.append(c.alias(f"v_{item.name}"))
                 scope[item.name] = Var("value", t)
                 columns.append((item.name, t))
@@ -400,10 +561,63 @@ class Compiler:
             scope[item.name] = Var("path" if t == "path" else "value", t)
             columns.append((item.name, t))
         h = self.name()
-        df = frame.df.groupBy(*keys).agg(F.min(stamp).alias(h), *aggs)
+        df = self.factored(frame, p, keys, firsts, made, h)
+        if df is None:
+            df = frame.df.groupBy(*[c.alias(n) for n, c in keys]).agg(F.min(stamp).alias(h), *[F.first(c).alias(n) for n, c in firsts], *[m.whole.alias(m.alias) for m in made])
         return Frame(df.select(*final, q(h)), scope, ((h, True),)), columns
 
-    def aggregate(self, bind: Binder, e: tuple, stamp: Column, made: list) -> Typed:
+    def factored(self, frame: Frame, p: Projection, keys: list, firsts: list, made: list[Aggregate], h: str) -> DataFrame | None:
+        """Aggregates of two halves that meet at shared nodes, without the rows of their join.
+
+        Where a node has m rows on one side and n on the other, the join has m * n. Groups that depend on the shared
+        nodes alone, and aggregates of one side each, need only one row a shared node from each side: sums and counts
+        are weighted by the other side's number of rows, and distinct values are counted on their own side.
+        """
+        halves = frame.halves
+        if halves is None or halves.whole is not frame.df:
+            return None
+        mine = set(halves.left.scope)
+        grouping = [references(i.expr) for i in p.items if not has_aggregate(i.expr)]
+        if any(not g <= set(halves.known) for g in grouping) or any(m.name == "collect" or (m.distinct and m.name == "avg") or (m.names & mine and m.names - mine) for m in made):
+            return None
+        steps, self.steps = self.steps, []
+        meets = {v: f"half {k}" for k, v in enumerate(halves.known)}
+        alone = [Path(None, [replace(n, var=meets.get(n.var, n.var), anonymous=n.anonymous or n.var in meets) for n in x.nodes], x.rels) for x in halves.paths]
+        left, right = halves.left, self.match(Frame(self.start().df), alone, halves.where, False)
+        self.steps = steps
+        sides = ((left, [m for m in made if m.names <= mine and m.value is not None], [left.key(v) for v in halves.known]), (right, [m for m in made if m.names - mine], [right.key(x) for x in meets.values()]))
+        at = [f"at_{k}" for k in range(len(meets))]
+        names = [n for n, _ in keys]
+        per = []
+        for k, (side, own, ids) in enumerate(sides):
+            held = [F.count(F.lit(1)).alias(f"rows_{k}"), F.min(self._stamp(side)).alias(f"stamp_{k}")]
+            held += [F.first(c).alias(n) for n, c in [*keys, *firsts]] if k == 0 else []
+            held += [f(m.value).alias(f"{m.alias}_{f.__name__}") for m in own if not m.distinct for f in m.parts()]
+            per.append(side.df.groupBy(*[q(i).alias(a) for i, a in zip(ids, at, strict=True)]).agg(*held))
+        both = per[0].join(per[1], at)
+        final = [F.min(F.struct("stamp_0", "stamp_1")).alias(h), *[F.first(q(n)).alias(n) for n, _ in firsts]]
+        for k, (_, own, _) in enumerate(sides):
+            final += [m.joined(F.col(f"rows_{1 - k}")).alias(m.alias) for m in own if not m.distinct]
+        final += [F.coalesce(F.sum(F.col("rows_0") * F.col("rows_1")), F.lit(0)).alias(m.alias) for m in made if m.value is None]
+        out = both.groupBy(*[q(n) for n in names]).agg(*final)
+        for k, (side, own, ids) in enumerate(sides):
+            if not (own := [m for m in own if m.distinct]):
+                continue
+            rows = side.df.select(*[q(i).alias(a) for i, a in zip(ids, at, strict=True)], *([c.alias(n) for n, c in keys] if k == 0 else []), *[m.value.alias(m.alias) for m in own])
+            rows = rows.join(per[1].select(*at), at, "left_semi") if k == 0 else rows.join(per[0].select(*at, *[q(n) for n in names]), at)
+            part = rows.groupBy(*[q(n).alias(f"part_{n}") for n in names]).agg(*[m.function()(q(m.alias)).alias(m.alias) for m in own])
+            if names:
+                cond = None
+                for n in names:
+                    this = q(n).eqNullSafe(q(f"part_{n}"))
+                    cond = this if cond is None else cond & this
+                out = out.join(part, cond).drop(*[f"part_{n}" for n in names])
+            else:
+                out = out.crossJoin(part)  # one row each
+        self.steps.append("Factored")
+        return out
+
+    def aggregate(self, bind: Binder, e: tuple, stamp: Column, made: list[Aggregate]) -> Typed:
         """An expression over aggregates: each becomes a column of the grouping."""
         if e[0] == "func" and e[1] in AGGREGATES:
             _, name, distinct, args = e
@@ -413,23 +627,27 @@ class Compiler:
                 raise parse_error("aggregates do not nest")
             alias = self.name("g")
             if args[0] == ("star",):
-                made.append(F.count(F.lit(1)).alias(alias))
+                made.append(Aggregate(alias, "count", False, None, frozenset(), F.count(F.lit(1))))
                 return q(alias), "int"
             c, t = bind.bind(args[0])
+            names = frozenset(references(args[0]))
             if name == "count":
-                made.append((F.count_distinct(c) if distinct else F.count(c)).alias(alias))
+                # what is never null needs no column
+                sure = args[0][0] == "var" and t in ("node", "rel") and not distinct and args[0][1] in self.sure
+                c = F.lit(1) if sure else c
+                made.append(Aggregate(alias, name, distinct, c, names, F.count_distinct(c) if distinct else F.count(c)))
                 return q(alias), "int"
             if name == "collect":
                 part = F.collect_list(F.when(c.isNotNull(), F.struct(stamp.alias("o"), c.alias("v"))))
-                made.append(part.alias(alias))
+                made.append(Aggregate(alias, name, distinct, c, names, part))
                 listed = F.transform(F.array_sort(q(alias)), lambda x: x["v"])
                 return (F.array_distinct(listed) if distinct else listed), ("list", "int" if t in ("node", "rel") else t)
             if name in ("sum", "avg") and t not in ("int", "double", "null"):
                 raise parse_error(f"{name}() needs numbers, not {t}")
             kind = "int" if t == "null" else t
             c = c.cast(spark_type(kind))
-            f = {"sum": F.sum_distinct if distinct else F.sum, "avg": F.avg, "min": F.min, "max": F.max}[name]
-            made.append(f(c).alias(alias))
+            found = Aggregate(alias, name, distinct and name in ("sum", "avg"), c, names, F.lit(None))
+            made.append(replace(found, whole=found.function()(c)))
             return q(alias), "double" if name == "avg" else kind
         if e[0] in ("var", "prop"):
             raise parse_error("an aggregate does not mix with plain variables")
@@ -453,7 +671,6 @@ class Compiler:
 
     def distinct(self, frame: Frame, p: Projection, columns: list) -> Frame:
         """First-seen order, one row for each set of values."""
-        frame = self._ascending(frame)
         keys = [frame.key(n) for n, _ in columns]
         rest = [c for n, _ in columns for c in frame.columns_of(n) if c not in keys]
         h = self.name()

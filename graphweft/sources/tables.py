@@ -8,10 +8,12 @@ Ids are code * 10 ** 12 + key + 1.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphweft.graph import P, PropertyGraph
+from graphweft.graph import P, PropertyGraph, Shape
 
 CODE = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "User": 7, "EventType": 8, "Event": 9}
 STEP = 10**12
@@ -32,8 +34,14 @@ def load(spark: SparkSession, sf_dir: str, events: bool = True) -> PropertyGraph
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    made: dict[str, tuple[DataFrame, list[Column]]] = {}
+    ends: dict[str, tuple[str, str]] = {}
+    owned: dict[str, tuple[str, DataFrame]] = {}
+
     def node(df: DataFrame, label: str, key: str | Column, props: dict[str, str | Column]) -> DataFrame:
-        return df.select(ident(label, key).alias("id"), F.array(F.lit(label)).alias("labels"), *[(F.col(c) if isinstance(c, str) else c).alias(P + k) for k, c in props.items()])
+        columns = [ident(label, key).alias("id"), F.array(F.lit(label)).alias("labels"), *[(F.col(c) if isinstance(c, str) else c).alias(P + k) for k, c in props.items()]]
+        made[label] = (df, columns)
+        return df.select(*columns)
 
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     nation, customer, supplier, orders, lines = (table(t) for t in ("nation", "customer", "supplier", "orders", "lineitem"))
@@ -46,28 +54,35 @@ def load(spark: SparkSession, sf_dir: str, events: bool = True) -> PropertyGraph
         node(orders, "Order", "o_orderkey", {"status": "o_orderstatus", "price": "o_totalprice", "priority": "o_orderpriority", "date": micros("o_orderdate")}),
     ]
 
-    def rel(df: DataFrame, code: int, key: Column, type_: str, src: Column, dst: Column, props: dict[str, Column] | None = None) -> DataFrame:
-        return df.select((F.lit(code * STEP + 1) + key).cast("long").alias("id"), src.alias("src"), dst.alias("dst"), F.lit(type_).alias("type"), *[c.alias(P + k) for k, c in (props or {}).items()])
-
-    # (order, line number) repeats: lines are numbered inside their order, never over the whole table
-    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*lines.columns)) - 1
+    def rel(df: DataFrame, code: int, key: Column, type_: str, src: tuple[str, str | Column], dst: tuple[str, str | Column], props: dict[str, Column] | None = None) -> DataFrame:
+        ends[type_] = (src[0], dst[0])
+        columns = [(F.lit(code * STEP + 1) + key).cast("long").alias("id"), ident(*src).alias("src"), ident(*dst).alias("dst"), F.lit(type_).alias("type"), *[c.alias(P + k) for k, c in (props or {}).items()]]
+        for end, label in (("src", src[0]), ("dst", dst[0])):
+            if made[label][0] is df:  # the node's own row
+                own = df.select(*[c.alias("own_" + name) for c, name in zip(made[label][1], df.select(*made[label][1]).columns, strict=True)], *columns)
+                owned[type_] = (end, own)
+        return df.select(*columns)
+
+    # (order, line number) repeats: lines are numbered inside their order, never over the whole table, and only where
+    # a query asks for ids; equal pairs go by a hash of the row
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", F.xxhash64(*lines.columns))) - 1
     numbered = lines.withColumn("line", line)
     rels = [
-        rel(nation, 11, F.col("n_nationkey"), "IN_REGION", ident("Nation", "n_nationkey"), ident("Region", "n_regionkey")),
-        rel(customer, 12, F.col("c_custkey"), "IN_NATION", ident("Customer", "c_custkey"), ident("Nation", "c_nationkey")),
-        rel(supplier, 13, F.col("s_suppkey"), "BASED_IN", ident("Supplier", "s_suppkey"), ident("Nation", "s_nationkey")),
-        rel(orders, 14, F.col("o_orderkey"), "PLACED", ident("Customer", "o_custkey"), ident("Order", "o_orderkey"), {"price": F.col("o_totalprice"), "date": micros("o_orderdate")}),
-        rel(numbered, 15, F.col("l_orderkey") * 1000 + F.col("line"), "CONTAINS", ident("Order", "l_orderkey"), ident("Part", "l_partkey"), {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "discount": F.col("l_discount")}),
-        rel(numbered, 16, F.col("l_orderkey") * 1000 + F.col("line"), "SUPPLIED_BY", ident("Order", "l_orderkey"), ident("Supplier", "l_suppkey"), {"quantity": F.col("l_quantity")}),
+        rel(nation, 11, F.col("n_nationkey"), "IN_REGION", ("Nation", "n_nationkey"), ("Region", "n_regionkey")),
+        rel(customer, 12, F.col("c_custkey"), "IN_NATION", ("Customer", "c_custkey"), ("Nation", "c_nationkey")),
+        rel(supplier, 13, F.col("s_suppkey"), "BASED_IN", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey")),
+        rel(orders, 14, F.col("o_orderkey"), "PLACED", ("Customer", "o_custkey"), ("Order", "o_orderkey"), {"price": F.col("o_totalprice"), "date": micros("o_orderdate")}),
+        rel(numbered, 15, F.col("l_orderkey") * 1000 + F.col("line"), "CONTAINS", ("Order", "l_orderkey"), ("Part", "l_partkey"), {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "discount": F.col("l_discount")}),
+        rel(numbered, 16, F.col("l_orderkey") * 1000 + F.col("line"), "SUPPLIED_BY", ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), {"quantity": F.col("l_quantity")}),
     ]
     if events:
         ev = table("events")
         nodes.append(node(ev.select("user_id").distinct(), "User", "user_id", {"key": "user_id"}))
         nodes.append(node(ev.select("event_type").distinct(), "EventType", named("event_type"), {"name": "event_type"}))
         nodes.append(node(ev, "Event", "event_id", {"value": "value", "ts": micros("ts")}))
-        rels.append(rel(ev, 17, F.col("event_id"), "PERFORMED", ident("User", "user_id"), ident("EventType", named("event_type")), {"value": F.col("value"), "ts": micros("ts")}))
+        rels.append(rel(ev, 17, F.col("event_id"), "PERFORMED", ("User", "user_id"), ("EventType", named("event_type")), {"value": F.col("value"), "ts": micros("ts")}))
         after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-        rels.append(rel(ev.withColumn("after", after).where("after is not null"), 18, F.col("event_id"), "NEXT", ident("Event", "event_id"), ident("Event", "after")))
+        rels.append(rel(ev.withColumn("after", after).where("after is not null"), 18, F.col("event_id"), "NEXT", ("Event", "event_id"), ("Event", "after")))
 
     def together(parts: list[DataFrame]) -> DataFrame:
         out = parts[0]
@@ -75,7 +90,14 @@ def load(spark: SparkSession, sf_dir: str, events: bool = True) -> PropertyGraph
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
-    return PropertyGraph.of(together(nodes), together(rels), next_node=10 * STEP, next_rel=20 * STEP)
+    graph = PropertyGraph.of(together(nodes), together(rels), next_node=10 * STEP, next_rel=20 * STEP)
+
+    def whole(wide: DataFrame) -> DataFrame:
+        """With a column for each key of the graph, null where the label or type lacks it."""
+        missing = {h + f.name: F.lit(None).cast(f.dataType) for h, df in (("own_", graph.nodes), ("", graph.rels)) for f in df.schema.fields if f.name.startswith(P) and h + f.name not in wide.columns}
+        return wide.withColumns(missing) if missing else wide
+
+    return replace(graph, shape=Shape(graph.nodes, graph.rels, ends, {t: (end, whole(wide)) for t, (end, wide) in owned.items()}))
 
 
 def trades(spark: SparkSession, sf_dir: str, heaviest: int = 3) -> PropertyGraph:
