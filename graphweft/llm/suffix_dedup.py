@@ -35,7 +35,7 @@ BLOCK = 1 << 20
 #: Suffixes that one sort takes at a time.
 SORTED = 1 << 18
 
-_RUN = "id long, row int, start int, size int, anchor int, reps int, g long, c long"
+_RUN = "id long, row long, row2 long, start int, size int, anchor int, reps int, g long, c long"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -107,7 +107,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
             text, start, size, anchor, reps, g, c = runs(block.column("text"), length)
             small = [pa.array(x.astype(np.int32)) for x in (start, size, anchor, reps)]
             owner = pa.array(text)
-            yield pa.RecordBatch.from_arrays([block.column("id").take(owner), block.column("row").take(owner), *small, pa.array(g), pa.array(c)], ["id", "row", "start", "size", "anchor", "reps", "g", "c"])
+            yield pa.RecordBatch.from_arrays([*[block.column(k).take(owner) for k in ("id", "row", "row2")], *small, pa.array(g), pa.array(c)], ["id", "row", "row2", "start", "size", "anchor", "reps", "g", "c"])
 
     return docs.mapInArrow(find, _RUN)
 
@@ -115,32 +115,42 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 def multikey_sort(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order places by group and then by `length` bytes; and which equal the one before them.
 
-    The key is 8 bytes at a time. Only the places still tied go on to the next key.
+    Multikey quicksort, all segments a round: each is split three ways by 8 bytes of its middle member; the equal part
+    goes on to the next 8 bytes, the other two stay at these. A segment of one, or one equal to the end, is done.
     """
     words = -(-length // 8)
     padded = np.concatenate([data, np.zeros(8 * words, np.uint8)])
     view = np.lib.stride_tricks.sliding_window_view(padded, 8)
     by = np.argsort(group, kind="stable")
-    order, tie = at[by], np.zeros(len(at), np.int64)
-    own = group[by]
-    first = np.append(True, own[1:] != own[:-1])
-    tie = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    order, own = at[by], group[by]
+    segment = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), np.arange(len(at)), 0))  # its first place
+    depth = np.zeros(len(at), np.int64)
     live = np.arange(len(at))
-    for k in range(words):
-        sizes = np.bincount(tie[live], minlength=len(at))
-        live = live[sizes[tie[live]] > 1]
+    while True:
+        sizes = np.bincount(segment[live], minlength=len(at))
+        live = live[(sizes[segment[live]] > 1) & (depth[live] < words)]
         if not len(live):
             break
-        key = np.ascontiguousarray(view[order[live] + 8 * k]).view(">u8").ravel().astype(np.uint64)
-        if 8 * (k + 1) > length:
-            key >>= np.uint64(8 * (8 * (k + 1) - length))
-        by = np.lexsort((key, tie[live]))
-        order[live], key = order[live][by], key[by]
-        was = tie[live]
-        fresh = np.append(True, (was[1:] != was[:-1]) | (key[1:] != key[:-1]))
-        tie[live] = np.maximum.accumulate(np.where(fresh, live, 0))
+        place, d, seg = order[live], depth[live], segment[live]
+        key = np.ascontiguousarray(view[place + 8 * d]).view(">u8").ravel().astype(np.uint64)
+        if 8 * words > length:
+            key[d == words - 1] >>= np.uint64(8 * (8 * words - length))
+        first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+        size = np.diff(np.append(first, len(seg)))
+        pivot = np.repeat(key[first + size // 2], size)
+        to, at_part = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64)
+        before = np.zeros(len(first), np.int64)
+        for part in (key < pivot, key == pivot, key > pivot):
+            upto = np.cumsum(part)
+            ahead = upto[first] - part[first]
+            nth = upto - 1 - np.repeat(ahead, size)
+            base = np.repeat(before, size)
+            to, at_part = np.where(part, base + nth, to), np.where(part, base, at_part)
+            before = before + upto[first + size - 1] - ahead
+        to += seg
+        order[to], depth[to], segment[to] = place, d + (key == pivot), seg + at_part
     equal = np.zeros(len(at), bool)
-    equal[1:] = tie[1:] == tie[:-1]
+    equal[1:] = segment[1:] == segment[:-1]
     return order, equal
 
 
@@ -256,20 +266,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         raise ValueError(f"length must be {2 * GRAM} at least")
     bounded_batches(docs.sparkSession)
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    row = F.hash(ident, text)
-    base = docs.select(ident.cast("long").alias("id"), row.alias("row"), text.alias("text"))
+    # 128 bits that tell rows apart, whatever their ids are
+    row, row2 = F.xxhash64(ident, text), F.xxhash64(F.lit("second"), text, ident)
+    base = docs.select(ident.cast("long").alias("id"), row.alias("row"), row2.alias("row2"), text.alias("text"))
     found = _runs(base, length)
     frequent = found.groupBy("g").agg(F.sum("reps").alias("n")).where("n > 1").select("g")
     near = stored(found.join(frequent, "g"), "runs")
 
-    classes = near.groupBy("g", "c", "size", "anchor").agg(F.sum("reps").alias("n"), F.min(F.struct("id", "row", "start")).alias("first"))
+    classes = near.groupBy("g", "c", "size", "anchor").agg(F.sum("reps").alias("n"), F.min(F.struct("id", "row", "row2", "start")).alias("first"))
     classes = stored(classes, "classes")
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     whole = classes.where("n > 1").select("g", "c", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("marks"))
 
-    wanted = classes.join(several, "g").select(F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.struct("g", "c", "size", "anchor", F.col("first.start").alias("start"), "members").alias("run"))
-    wanted = wanted.groupBy("id", "row").agg(F.collect_list("run").alias("runs"))
-    texts = base.join(wanted.select(F.col("id").alias("w_id"), F.col("row").alias("w_row"), "runs"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("text", "runs")
+    wanted = classes.join(several, "g").select(F.col("first.id").alias("id"), F.col("first.row").alias("row"), F.col("first.row2").alias("row2"), F.struct("g", "c", "size", "anchor", F.col("first.start").alias("start"), "members").alias("run"))
+    wanted = wanted.groupBy("id", "row", "row2").agg(F.collect_list("run").alias("runs"))
+    texts = base.join(wanted.select(F.col("id").alias("w_id"), F.col("row").alias("w_row"), F.col("row2").alias("w_row2"), "runs"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")) & (F.col("row2") == F.col("w_row2"))).select("text", "runs")
     kinds = {"g": pa.int64(), "c": pa.int64(), "size": pa.int32(), "anchor": pa.int32(), "members": pa.int64(), "lead": pa.binary(), "bytes": pa.binary()}
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,13 +300,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     marks = marks if halved is None else marks.unionByName(halved)
     marks = marks.groupBy("g", "c").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
-    spans = near.join(marks, ["g", "c"]).select("id", "row", F.explode("marks").alias("m"), "start", "size", "reps")
+    spans = near.join(marks, ["g", "c"]).select("id", "row", "row2", F.explode("marks").alias("m"), "start", "size", "reps")
     # a run that follows itself is marked as a whole
-    spans = spans.select("id", "row", F.struct((F.col("start") + F.col("m.s")).alias("s"), F.when(F.col("reps") > 1, F.col("start") + F.col("size") * F.col("reps") + (length - 1)).otherwise(F.col("start") + F.col("m.e") + (length - 1)).alias("e")).alias("span"))
-    spans = spans.groupBy("id", "row").agg(F.collect_set("span").alias("__spans")).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "__spans")
+    spans = spans.select("id", "row", "row2", F.struct((F.col("start") + F.col("m.s")).alias("s"), F.when(F.col("reps") > 1, F.col("start") + F.col("size") * F.col("reps") + (length - 1)).otherwise(F.col("start") + F.col("m.e") + (length - 1)).alias("e")).alias("span"))
+    spans = spans.groupBy("id", "row", "row2").agg(F.collect_set("span").alias("__spans")).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("row2").alias("__row2"), "__spans")
     new = T.StructType.fromDDL("spans array<struct<s:int,e:int>>, n_bytes long, n_removed long, kept binary")
     old = [f for f in docs.schema.fields if f.name not in new.names]
-    joined = docs.join(spans, ident.eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left")
+    joined = docs.join(spans, ident.eqNullSafe(F.col("__id")) & (row == F.col("__row")) & (row2 == F.col("__row2")), "left")
     joined = joined.select(*[F.col(f"`{f.name}`") for f in old], text.alias("__text"), "__spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
