@@ -18,6 +18,9 @@ BUCKETS = 4096
 SIZES = (1, 2, 3)
 #: Documents of a language that its centroids are fitted on, at most.
 TRAIN_PER_LANGUAGE = 400
+#: Fitting rows of all languages, at most; and languages that are learned, the most frequent first.
+TRAIN_ROWS = 16384
+MOST_LANGUAGES = 512
 CENTROIDS = 4
 #: Lengths in characters of the pieces of training texts from which short texts' cosines are learned.
 PIECES = (4, 12, 32, 100, 300, 1000)
@@ -156,7 +159,9 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """Document frequencies come from all of `docs`; centroids from at most `per_language` documents of each language.
 
-    The fitting rows are the first by a hash of the id. Rows without a language count only for frequencies.
+    The fitting rows are the first by a hash of the id and text; rows that repeat count once. Beyond MOST_LANGUAGES
+    languages the rarest are not learned, and TRAIN_ROWS rows are shared out evenly, so that what comes to the driver
+    is bounded whatever the table holds. Rows without a language count only for frequencies.
     """
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,17 +175,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.append(seen[seen > 0], total), pa.int64())], ["bucket", "n"])
 
     bounded_batches(docs.sparkSession)
-    text = F.col(f"`{text_col}`").alias("text")
+    text_col_ = F.col(f"`{text_col}`")
+    text = text_col_.alias("text")
     df = np.zeros(BUCKETS + 1)
     for r in docs.select(text).mapInArrow(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         df[r.bucket] = r.n
     idf = (np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1).astype(np.float32)
 
     labelled = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    order = Window.partitionBy(F.col(f"`{lang_col}`").alias("lang")).orderBy(F.xxhash64(F.col(f"`{id_col}`")), F.col(f"`{id_col}`"))
-    chosen = labelled.select(F.col(f"`{id_col}`").alias("id"), F.row_number().over(order).alias("n")).where(F.col("n") <= per_language).select("id").distinct()
-    # bounded: per_language ids for each language
-    rows = labelled.select(F.col(f"`{id_col}`").alias("id"), text, F.col(f"`{lang_col}`").alias("lang")).join(F.broadcast(chosen), "id").select("text", "lang")
+    ident, own = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`").cast("string")
+    # bounded: MOST_LANGUAGES names
+    names = [r.lang for r in labelled.groupBy(own.alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    if len(names) * per_language > TRAIN_ROWS:
+        per_language = max(1, TRAIN_ROWS // len(names))
+    labelled = labelled.select(F.xxhash64(ident, text_col_).alias("r1"), F.xxhash64(F.lit("second"), text_col_, ident).alias("r2"), text, own.alias("lang")).where(F.col("lang").isin(names))
+    order = Window.partitionBy("lang").orderBy("r1", "r2")
+    chosen = labelled.select("r1", "r2", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    # bounded: TRAIN_ROWS keys
+    rows = labelled.join(F.broadcast(chosen), ["r1", "r2", "lang"]).dropDuplicates(["r1", "r2", "lang"]).select("text", "lang")
 
     def pack(counts: np.ndarray) -> bytes:
         return zlib.compress(counts.tobytes(), 1)
