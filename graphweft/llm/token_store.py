@@ -4,7 +4,9 @@ A store is a folder of Parquet files written by Spark's own committer, so that l
 leave no torn files, on any file system that Spark reaches. A record is a block of one shard:
 
     shard, block     place of the block; shards follow the ids' order, blocks too
-    doc_ids          ids of its documents, ascending
+    n_null, first    documents without an id, which come first, and the least id of the others
+    id_*             ascending ids less the least, in Elias-Fano code of the same parts
+    n_docs           documents of the block
     before, n_tokens ids of the shard before the block, and in it
     low_bits         bits of each boundary that are stored as they are
     low, high        those bits packed; the rest of each boundary in unary, as a bit vector
@@ -43,7 +45,7 @@ STORED_BYTES = 8 << 20
 #: One bits between sampled places.
 SAMPLE = 256
 
-_SCHEMA = "shard int, block int, doc_ids array<bigint>, before long, n_tokens long, low_bits int, low binary, high binary, samples binary, width int, ids binary"
+_SCHEMA = "shard int, block int, n_docs int, n_null int, first long, id_low_bits int, id_low binary, id_high binary, id_samples binary, before long, n_tokens long, low_bits int, low binary, high binary, samples binary, width int, ids binary"
 
 
 class EliasFano:
@@ -57,7 +59,7 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
         universe = int(v[-1]) + 1 if n else 1
-        bits = max(0, (universe // max(n, 1)).bit_length() - 1)
+        bits = min(63, max(0, (universe // max(n, 1)).bit_length() - 1))
         shifts = np.arange(bits, dtype=np.uint64)
         low = np.packbits(((v[:, None] >> shifts) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes() if bits else b""
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
@@ -65,31 +67,41 @@ class EliasFano:
         flags[ones] = 1
         return cls(n, bits, low, np.packbits(flags, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
 
-    def select(self, i: int) -> int:
-        """The i-th value: jump to the sampled one bit before it, and count on from there."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at = int(np.frombuffer(self.samples, "<u4")[i // SAMPLE])
-        left, byte = i % SAMPLE, at >> 3
-        word = self.high[byte] >> (at & 7) << (at & 7)
-        while left >= (ones := word.bit_count()):
-            left -= ones
-            byte += 1
-            word = self.high[byte]
-        for _ in range(left):
-            word &= word - 1
-        place = (byte << 3) + (word & -word).bit_length() - 1
-        first = i * self.low_bits
-        piece = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3], "little") >> (first & 7)
-        return (place - i) << self.low_bits | piece & ((1 << self.low_bits) - 1)
-
-    def select_all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low_bits
-        if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return out
+    def select(self, which: np.ndarray | int) -> np.ndarray:
+        """The values at these places: jump to the sampled one bit before each, and count on from there."""
+        which = np.atleast_1d(np.asarray(which, np.int64))
+        if len(which) and not (0 <= which.min() and which.max() < self.n):
+            raise IndexError(which)
+        if not len(which):
+            return np.zeros(0, np.uint64)
+        padded = np.frombuffer(self.high + bytes(8 - len(self.high) % 8), "<u8")
+        start = np.frombuffer(self.samples, "<u4").astype(np.int64)[which // SAMPLE]
+        left, at = which % SAMPLE, start >> 6
+        word = padded[at] >> (start & 63).astype(np.uint64) << (start & 63).astype(np.uint64)
+        ones = np.bitwise_count(word).astype(np.int64)
+        behind = np.flatnonzero(left >= ones)
+        while len(behind):
+            left[behind] -= ones[behind]
+            at[behind] += 1
+            word[behind] = padded[at[behind]]
+            ones[behind] = np.bitwise_count(word[behind])
+            behind = behind[left[behind] >= ones[behind]]
+        place = np.zeros(len(which), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            mask = np.uint64((1 << half) - 1)
+            lower = np.bitwise_count(word >> place.astype(np.uint64) & mask).astype(np.int64)
+            up = left >= lower
+            left, place = np.where(up, left - lower, left), np.where(up, place + half, place)
+        upper = ((at << 6) + place - which).astype(np.uint64)
+        if not self.low_bits:
+            return upper
+        bit = which * self.low_bits
+        low = np.frombuffer(self.low + bytes(16), np.uint8)
+        span = np.lib.stride_tricks.sliding_window_view(low, 9)[bit >> 3]
+        shift = (bit & 7).astype(np.uint64)
+        pieces = np.ascontiguousarray(span[:, :8]).view("<u8").ravel() >> shift
+        pieces = np.where(shift > 0, pieces | span[:, 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), pieces)
+        return upper << np.uint64(self.low_bits) | pieces & np.uint64((1 << self.low_bits) - 1)
 
 
 def plain(text: str) -> bool:
@@ -172,8 +184,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
             ids = [x + end for x in encoder.encode(rows.column("text").to_pylist())]
             bounds = np.cumsum([0, *map(len, ids)]) // encoder.dtype.itemsize
             ef = EliasFano.encode(bounds)
-            record = {"shard": shard, "block": block, "doc_ids": rows.column("doc_id").to_pylist(), "before": before, "n_tokens": int(bounds[-1]), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples, "width": encoder.dtype.itemsize, "ids": b"".join(ids)}
-            kinds = {"shard": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "before": pa.int64(), "n_tokens": pa.int64(), "low_bits": pa.int32(), "width": pa.int32()}
+            known = rows.column("doc_id").drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            least = int(known[0]) if len(known) else 0
+            named = EliasFano.encode(known.view(np.uint64) - np.uint64(least % (1 << 64)))
+            record = {"shard": shard, "block": block, "n_docs": rows.num_rows, "n_null": rows.num_rows - len(known), "first": least, "id_low_bits": named.low_bits, "id_low": named.low, "id_high": named.high, "id_samples": named.samples, "before": before, "n_tokens": int(bounds[-1]), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples, "width": encoder.dtype.itemsize, "ids": b"".join(ids)}
+            kinds = {"shard": pa.int32(), "block": pa.int32(), "n_docs": pa.int32(), "n_null": pa.int32(), "first": pa.int64(), "id_low_bits": pa.int32(), "before": pa.int64(), "n_tokens": pa.int64(), "low_bits": pa.int32(), "width": pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in record.items()], list(record))
             before += int(bounds[-1])
 
@@ -196,16 +211,18 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                n = len(r["doc_ids"])
-                bounds = EliasFano(n + 1, r["low_bits"], r["low"], r["high"], r["samples"]).select_all()
+                n, none = r["n_docs"], r["n_null"]
+                bounds = EliasFano(n + 1, r["low_bits"], r["low"], r["high"], r["samples"]).select(np.arange(n + 1)).astype(np.int64)
+                known = EliasFano(n - none, r["id_low_bits"], r["id_low"], r["id_high"], r["id_samples"]).select(np.arange(n - none))
+                names = pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array((known + np.uint64(r["first"] % (1 << 64))).view(np.int64))])
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                arrays = [pa.array(r["doc_ids"], pa.int64()), pa.array(bounds[:-1] + r["block_start"], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                arrays = [names, pa.array(bounds[:-1] + r["block_start"], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())]
+                columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                    columns.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, columns)
 
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
