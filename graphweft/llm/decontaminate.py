@@ -59,14 +59,52 @@ class Items:
         last = self.counts - size
         #: Searched suffixes: those that hold a whole window.
         per = np.where(self.counts > 0, last + 1, 0)
-        self.item = np.repeat(np.arange(len(ids)), per)
-        self.word = np.arange(len(self.item)) - np.repeat(np.cumsum(per) - per, per)
-        self.start = (starts + np.arange(len(ids)))[self.item] + self.word
-        self.size = size[self.item]
+        item = np.repeat(np.arange(len(ids)), per)
+        word = np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per)
+        start, length = (starts + np.arange(len(ids)))[item] + word, size[item]
+        self.first = starts + np.arange(len(ids))
+        #: Equal windows are searched once: a class has the places of its windows, in ascending order.
+        self.places, edge = _classes(self.words, start, length, window)
+        self.edge = np.append(edge, len(self.places))
+        self.start, self.size = self.places[edge], length[np.searchsorted(start, self.places[edge])]
         self.depth = int(self.counts.max()) if len(ids) else 0
         self.lead = int(min([LEAD, *size[size > 0]])) if (size > 0).any() else 0
         self.leads = np.unique(self._key(self.words, self.start)) if self.lead else np.zeros(0, np.int64)
 
+    def holders(self, classes: np.ndarray) -> np.ndarray:
+        """Items that hold any of these classes' windows."""
+        if not len(classes):
+            return np.zeros(0, np.int64)
+        places = np.concatenate([self.places[self.edge[c] : self.edge[c + 1]] for c in classes.tolist()])
+        return np.unique(np.searchsorted(self.first, places, side="right") - 1)
+
+    def matches(self, words: np.ndarray, at: np.ndarray, of: np.ndarray) -> list[tuple]:
+        """Verbatim matches (item, word in the item, place, words) that cover windows of classes `of` found `at` places.
+
+        From left to right: the items' places that hold the window are followed while any goes on, and the first that
+        lasts longest is the match, grown to the left as far as it goes. The next begins at the first window after it.
+        """
+        out, k, n = [], 0, len(at)
+        at_, of_ = at.tolist(), of.tolist()
+        while k < n:
+            held = self.places[self.edge[of_[k]] : self.edge[of_[k] + 1]]
+            last = k
+            while last + 1 < n and at_[last + 1] == at_[last] + 1:
+                follow = self.places[self.edge[of_[last + 1]] : self.edge[of_[last + 1] + 1]]
+                near = np.minimum(np.searchsorted(follow, held + 1), len(follow) - 1)
+                going = held[follow[near] == held + 1] + 1
+                if not len(going):
+                    break
+                held, last = going, last + 1
+            place = int(held[0]) - (last - k)
+            item = int(np.searchsorted(self.first, place, side="right")) - 1
+            begin, back = at_[k], 0
+            while place - back > self.first[item] and begin - back > 0 and words[begin - back - 1] == self.words[place - back - 1] and words[begin - back - 1] >= 0:
+                back += 1
+            out.append((item, place - back - int(self.first[item]), begin - back, at_[last] - begin + back + int(self.size[of_[last]])))
+            k = last + 1
+        return out
+
     def _key(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         key = np.zeros(len(at), np.uint64)
         for d in range(self.lead):
@@ -106,6 +144,20 @@ class Items:
         return lo
 
 
+def _classes(words: np.ndarray, start: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows, equal ones together and ascending; and where each class of equals begins."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = len(words) - 1
+    columns = [np.where(d < size, words[np.minimum(start + d, last)], -2) for d in range(window)]
+    by = np.lexsort([start, *reversed(columns)])
+    fresh = np.zeros(len(by), bool)
+    fresh[0] = True
+    for c in columns:
+        fresh[1:] |= c[by][1:] != c[by][:-1]
+    return start[by], np.flatnonzero(fresh)
+
+
 def sort_suffixes(words: np.ndarray, at: np.ndarray, depth: int, step: int) -> np.ndarray:
     """Order suffix starts by their first `depth` words, refining only the ties, `step` words at a time."""
     last = len(words) - 1
@@ -130,40 +182,50 @@ def sort_suffixes(words: np.ndarray, at: np.ndarray, depth: int, step: int) -> n
     return order
 
 
-def scan_shard(items: Items, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple]]]:
-    """Words of each text, and its maximal matches (item, word in the item, word in the text, words)."""
+def scan_shard(items: Items, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[tuple]]]:
+    """For each text its words, those hit, the items found, and verbatim matches (item, word in the item, word in the text, words).
+
+    What is held grows with the shard and the items found, not with items times occurrences.
+    """
     data, offsets = text_bytes(texts)
     hashes, of, _, _ = byte_words(data, offsets, WORD_CODE)
     counts = np.bincount(of, minlength=len(texts)).astype(np.int64)
-    found: list[list[tuple]] = [[] for _ in range(len(texts))]
+    hit, ids, found = np.zeros(len(texts), np.int64), [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
     if not items.lead or not len(hashes):
-        return counts, found
+        return counts, hit, ids, found
     near = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
     numbers = np.where(items.vocabulary[near] == hashes, near, -1)
     words = np.full(len(numbers) + len(texts) + items.lead + 1, -1, np.int64)
     words[np.arange(len(numbers)) + of] = numbers  # a gap after each text: no match goes across
     suffixes = items.suffix_array(words)
     if not len(suffixes):
-        return counts, found
+        return counts, hit, ids, found
     low, high = items.search(words, suffixes)
     n = high - low
-    query = np.repeat(np.arange(len(n)), n)
-    if not len(query):
-        return counts, found
-    at = suffixes[np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    item, word = items.item[query], items.word[query]
-    # windows that follow one another on a diagonal of item and text make one maximal match
-    by = np.lexsort((word, at - word, item))
-    item, word, at, size = item[by], word[by], at[by], items.size[query][by]
-    fresh = np.ones(len(by), bool)
-    fresh[1:] = (item[1:] != item[:-1]) | (word[1:] != word[:-1] + 1) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(fresh)
-    length = np.diff(np.append(first, len(by))) - 1 + size[first]
+    kind = np.repeat(np.arange(len(n)), n)
+    if not len(kind):
+        return counts, hit, ids, found
+    # a place holds one class of each window size
+    at = suffixes[np.arange(len(kind)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    by = np.lexsort((items.size[kind], at))
+    at, kind = at[by], kind[by]
+    size = items.size[kind]
+    flags = np.zeros(len(words) + 1, np.int64)
+    np.add.at(flags, at, 1)
+    np.add.at(flags, at + size, -1)
     text_start = np.cumsum(counts) - counts + np.arange(len(texts))
-    text = np.searchsorted(text_start, at[first], side="right") - 1
-    for i, w, p, k, t in zip(item[first].tolist(), word[first].tolist(), (at[first] - text_start[text]).tolist(), length.tolist(), text.tolist(), strict=True):
-        found[t].append((items.ids[i], w, p, k))
-    return counts, found
+    hit = np.add.reduceat(np.cumsum(flags)[: len(words)] > 0, text_start).astype(np.int64)
+    text = np.searchsorted(text_start, at, side="right") - 1
+    edges = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])), len(text))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        t = int(text[a])
+        ids[t] = sorted({items.ids[i] for i in items.holders(np.unique(kind[a:b])).tolist()})
+        matched = []
+        for z in np.unique(size[a:b]).tolist():
+            mine = slice(a, b) if (size[a:b] == z).all() else a + np.flatnonzero(size[a:b] == z)
+            matched += items.matches(words, at[mine], kind[mine])
+        found[t] = [(items.ids[i], w, p - int(text_start[t]), k) for i, w, p, k in matched]
+    return counts, hit, ids, found
 
 
 def covered(matches: list[tuple]) -> int:
@@ -183,7 +245,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, most: int) -
             continue
         ids.append(row[0])
         texts.append(row[1])
-        size += len(row[1])
+        size += len(row[1].encode())
         if size >= most:
             yield ids, texts
             ids, texts, size = [], [], 0
@@ -194,7 +256,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """The rows of `docs` with n_words, n_hit, items (sorted), longest and matches (these replace columns of those names).
 
     A window is `window` consecutive words of an item, or all words of a shorter one. A word inside any occurrence
-    of a window is hit. matches holds the maximal verbatim matches with their places. A null or wordless text has
+    of a window is hit. matches holds verbatim matches with their places that cover all hit words, each as long as one
+    item goes on, from left to right; longest is the longest of them. Items that share a window are searched as one and
+    all named in items. A null or wordless text has
     no words and no hits; items that are null, have no id or no words match nothing; items that repeat are found
     each by its own id. Rows are judged one by one, so repeated rows and ids, null ids and ties change nothing.
     """
@@ -217,16 +281,19 @@ def _pass(docs: DataFrame, items: Items, text_col: str, number: int) -> DataFram
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, text_col, SHARD_BYTES):
-            counts, found = scan_shard(sent.value, block.column(text_col))
+            counts, hit, ids, found = scan_shard(sent.value, block.column(text_col))
             if number:
+                # a match holds all words that its block's items hit
                 found = [[*map(lambda m: tuple(m.values()), was), *now] for was, now in zip(block.column("matches").to_pylist(), found, strict=True)]
+                hit = np.array([covered(m) for m in found], np.int64)
+                ids = [sorted({*was, *now}) for was, now in zip(block.column("items").to_pylist(), ids, strict=True)]
             names = ("item_id", "item_word", "doc_word", "n_words")
             yield pa.RecordBatch.from_arrays(
                 [
                     *[block.column(f.name) for f in old],
                     pa.array(counts, pa.int64()),
-                    pa.array([covered(m) for m in found], pa.int64()),
-                    pa.array([sorted({x[0] for x in m}) for m in found], pa.list_(pa.string())),
+                    pa.array(hit, pa.int64()),
+                    pa.array(ids, pa.list_(pa.string())),
                     pa.array([max((x[3] for x in m), default=0) for m in found], pa.int32()),
                     pa.array([[dict(zip(names, x, strict=True)) for x in m] for m in found], pa.list_(pa.struct([("item_id", pa.string()), *[(n, pa.int32()) for n in names[1:]]]))),
                 ],
