@@ -31,15 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths that scratch() gave and sweep() has not deleted, oldest first.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the tables written after the first `since` of those that are left, but for `keep`.
+
+    For callers who have written their results: a lazy result may still read them.
+    """
+    for path in [p for p in _MADE[since:] if p != keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _MADE.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and forget the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
