@@ -1,12 +1,18 @@
 """WARC records, and a Merkle fixity audit of replicas.
 
 A shard holds the records of a fixed range of ids, one after the other; a record's offsets are places in its shard.
+Each shard is a file, compressed as a whole; readers take records by their Content-Length, never by what a body holds.
 The tree is sparse over the ids: node k of a level covers the 16 nodes 16 k ... 16 k + 15 below it, with the shards
 and offsets of its records. Two replicas are compared from the root, and only mismatching branches are descended.
 """
 
 from __future__ import annotations
 
+import gzip
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +23,16 @@ SHARD_IDS = 1000
 #: A node has 2 ** FAN children at most.
 FAN = 4
 CRLF = "\r\n"
+#: The date of records whose table tells none.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def record_bytes(ident: Column, url: Column, html: Column) -> Column:
-    """A WARC/1.1 resource record. A null id, address or body is an empty one."""
+    """A WARC/1.1 resource record. A null id, address or body is an empty one; line breaks in an address become blanks."""
     body = F.coalesce(html, F.lit(""))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: resource{CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(ident.cast("string"), F.lit("")),
-        F.lit(f">{CRLF}WARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit(f"{CRLF}Content-Type: text/html{CRLF}Content-Length: "),
+        F.lit(f">{CRLF}WARC-Date: {DATE}{CRLF}WARC-Target-URI: "), F.translate(F.coalesce(url, F.lit("")), CRLF, "  "), F.lit(f"{CRLF}Content-Type: text/html{CRLF}Content-Length: "),
         F.octet_length(body).cast("string"), F.lit(CRLF * 2), body, F.lit(CRLF * 2),
     )
 
@@ -43,30 +51,64 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return sized.select("id", "shard", (F.sum("length").over(within) - F.col("length")).alias("start"), "length", "record")
 
 
-def write_files(records: DataFrame, path: str) -> None:
-    """Plain WARC files: the records' bytes, one after the other. The line writer puts each record's last newline."""
-    records.select(F.expr("substring(record, 1, length(record) - 1)").alias("value")).write.option("lineSep", "\n").text(path)
+def write_files(records: DataFrame, path: str, placed: bool = False) -> None:
+    """A file for each shard: its records' bytes in the order of their offsets.
+
+    placed: all rows of a shard are in one partition already, as archive() and read_files() leave them. The line
+    writer puts each record's last newline.
+    """
+    rows = records if placed else records.repartition("shard")
+    value = F.expr("substring(CAST(record AS STRING), 1, length(CAST(record AS STRING)) - 1)")
+    rows.sortWithinPartitions("shard", "start").select("shard", value.alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("compression", "gzip").text(path)
+
+
+_END = b"\r\n\r\n"
+_NEXT = _END + b"WARC/1."
+_LENGTH = re.compile(rb"^Content-Length: *([0-9]+) *\r?$", re.I | re.M)
+_IDENT = re.compile(rb"^WARC-Record-ID: *<urn:page:(-?[0-9]{1,18})> *\r?$", re.I | re.M)
+
+
+def split_records(data: bytes) -> Iterator[tuple[int, int, int | None, bool]]:
+    """start, length, id and whether it is sound, of each record of a file.
+
+    A record is as long as its head says. Where the head says nothing, or leads past the end, the record is not sound
+    and ends before the next head.
+    """
+    at = 0
+    while at < len(data):
+        head = data.find(_END, at)
+        length = _LENGTH.search(data, at, head + 2) if head >= 0 else None
+        ident = _IDENT.search(data, at, head + 2) if head >= 0 else None
+        end = head + 8 + int(length[1]) if length else len(data) + 1
+        sound = data.startswith(b"WARC/1.", at) and end <= len(data) and data[end - 4 : end] == _END
+        if end > len(data):
+            near = data.find(_NEXT, at + 1)
+            end = near + 4 if near >= 0 else len(data)
+        yield at, end - at, int(ident[1]) if ident else None, sound
+        at = end
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files as (id, url, html), split in the reader at the next record's head.
+    """Records of a folder of shard files as id, shard, start, length, record (binary) and valid; a shard to a task.
 
-    A body that itself holds a blank line and a record's head is not supported; its length would not fit, and
-    valid is then false.
+    Offsets are places in the files' bytes. A body may hold anything, records' heads included. A folder without files
+    has no record.
     """
-    head = "WARC/1.1" + CRLF
-    text = spark.read.option("lineSep", CRLF * 2 + head).text(path).where(F.length("value") > 0)
-    value = F.regexp_replace("value", f"^{head}", "")  # the first record of a file keeps its head
-    parts = text.select(value.alias("v")).select(F.substring_index("v", CRLF * 2, 1).alias("h"), F.expr(f"substring(v, instr(v, '{CRLF * 2}') + 4)").alias("rest"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    shard = F.regexp_extract("path", "shard=(-?[0-9]+)", 1).cast("long")
 
-    def field(name: str) -> Column:
-        return F.regexp_extract("h", f"(?m)^{name}: (.*?)\\r?$", 1)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, content in zip(batch.column(0), batch.column(1), strict=True):
+                data = gzip.decompress(content.as_buffer())
+                found = list(split_records(data))
+                for k in range(0, len(found), 256):
+                    start, length, ident, sound = zip(*found[k : k + 256], strict=True)
+                    record = [data[a : a + n] for a, n in zip(start, length, strict=True)]
+                    columns = [pa.array(ident, pa.int64()), pa.array([own.as_py()] * len(start), pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(record, pa.binary()), pa.array(sound)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "shard", "start", "length", "record", "valid"])
 
-    ident, length = F.regexp_extract("h", "<urn:page:(-?[0-9]*)>", 1), field("Content-Length").cast("int")
-    body = F.decode(F.substring(F.encode("rest", "UTF-8"), F.lit(1), length), "UTF-8")
-    # the last record of a file keeps its closing lines
-    valid = F.octet_length("rest").isin(length, length + 4)
-    return parts.select(F.when(ident != "", ident).cast("long").alias("id"), field("WARC-Target-URI").alias("url"), body.alias("html"), valid.alias("valid"))
+    return files.select(shard.alias("shard"), "content").mapInArrow(parse, "id long, shard long, start long, length long, record binary, valid boolean")
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -114,16 +156,18 @@ def audit(good: DataFrame, other: DataFrame) -> DataFrame:
 
 def damaged(records: DataFrame, each: int = 50, rest: int = 7) -> DataFrame:
     """A replica in which one byte of every record with id mod `each` = `rest` has changed."""
-    spoilt = F.overlay(F.col("record"), F.lit("X"), F.lit(1))
-    return records.withColumn("record", F.when(F.pmod(F.col("id"), F.lit(each)) == rest, spoilt).otherwise(F.col("record")))
+    spoilt = F.expr("concat(X'58', substring(CAST(record AS BINARY), 2, octet_length(record)))")
+    return records.withColumn("record", F.when(F.pmod(F.col("id"), F.lit(each)) == rest, spoilt).otherwise(F.col("record").cast("binary")))
 
 
 def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, spoil a replica, and audit it: where each record lies and whether its replica is intact."""
-    path = scratch(spark, "warc")
-    archive(table(spark, sf_dir, "pages")).write.option("compression", "zstd").parquet(path)
-    records = spark.read.parquet(path)
-    wrong = audit(records, damaged(records)).withColumnRenamed("key", "wrong_key")
+    """Write all pages to WARC files, spoil a replica of these, and audit it from its files: where each record lies and
+    whether its replica is intact."""
+    good, other = scratch(spark, "warc"), scratch(spark, "warc-replica")
+    write_files(archive(table(spark, sf_dir, "pages")), good, placed=True)
+    records = read_files(spark, good)
+    write_files(damaged(records), other, placed=True)
+    wrong = audit(records, read_files(spark, other)).withColumnRenamed("key", "wrong_key")
     marked = records.select("id", "shard", "start", "length", F.sha2("record", 256).alias("sha256")).join(wrong, F.coalesce("id", "shard") == F.col("wrong_key"), "left")
     return marked.select(F.col("id").alias("page_id"), "shard", "start", "length", "sha256", F.col("wrong_key").isNull().alias("intact"))
 
@@ -131,7 +175,7 @@ def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH r AS (
   SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
-         || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+         || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
          || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, '')))
          || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages),

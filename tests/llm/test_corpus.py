@@ -224,8 +224,30 @@ def test_warc(spark, tmp_path):
     assert [r.key for r in warc.audit(records, records.where("id is null or id <> 16")).collect()] == [16]
     warc.write_files(records, f"file://{tmp_path}/w")
     back = warc.read_files(spark, f"file://{tmp_path}/w")
-    assert back.count() == len(rows) and back.where("NOT valid").count() == 0
-    assert warc.audit(warc.archive(spark.createDataFrame([], "page_id long, url string, html string")), records.limit(0)).count() == 0
+    own = records.withColumn("record", F.col("record").cast("binary")).select("id", "shard", "start", "length", "record")
+    assert sorted(map(str, back.drop("valid").collect())) == sorted(map(str, own.collect())) and back.where("NOT valid").count() == 0
+    assert warc.audit(records, back).count() == 0
+    warc.write_files(warc.damaged(back), f"file://{tmp_path}/x", placed=True)
+    spoilt = warc.read_files(spark, f"file://{tmp_path}/x")
+    assert sorted(r.key for r in warc.audit(back, spoilt).collect()) == wrong and spoilt.where("NOT valid").count() == len(wrong)
+    empty = warc.archive(spark.createDataFrame([], "page_id long, url string, html string, length int, record string"))
+    warc.write_files(empty, f"file://{tmp_path}/e")
+    assert warc.audit(empty, records.limit(0)).count() == 0 and warc.read_files(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_warc_bodies_that_hold_heads(spark, tmp_path):
+    """Bodies with record heads, blank lines and binary-like text; addresses with line breaks; a truncated file."""
+    inner = "WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(1, "http://a\r\nContent-Length: 1", inner), (2, "b", "\r\n\r\n" + inner * 3), (3, None, "\n\n\x00é"), (4, "c", ""), (5, "d", "x" * 100)]
+    records = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    warc.write_files(records, f"file://{tmp_path}/w")
+    back = {r.id: r for r in warc.read_files(spark, f"file://{tmp_path}/w").collect()}
+    assert set(back) == {1, 2, 3, 4, 5} and all(r.valid for r in back.values())
+    for ident, _, html in rows:
+        assert bytes(back[ident].record).endswith((html + "\r\n\r\n").encode())
+    whole = b"".join(bytes(back[k].record) for k in sorted(back))
+    cut = list(warc.split_records(whole[:-50]))
+    assert [x[2] for x in cut] == [1, 2, 3, 4, 5] and [x[3] for x in cut] == [True] * 4 + [False] and sum(x[1] for x in cut) == len(whole) - 50
 
 
 def test_language_id(spark, docs, none):
