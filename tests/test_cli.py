@@ -6,7 +6,7 @@ from graphweft.sources import snapshot
 
 def test_commands(spark, tmp_path, capsys):
     db = f"file://{tmp_path}/db"
-    (tmp_path / "t.tsv").write_text("alice\tKNOWS\tbob\n")
+    (tmp_path / "t.tsv").write_text("oak\tSHADES\tfern\n")
 
     def run(*args):
         code = cli.main(list(args))
@@ -17,7 +17,7 @@ def test_commands(spark, tmp_path, capsys):
     assert run("stats", db) == (0, "nodes: 0\nrelationships: 0\nsymbols: 0\n")
     run("store", db, str(tmp_path / "t.tsv"))
     assert run("stats", db) == (0, "nodes: 2\nrelationships: 1\nsymbols: 2\n")
-    assert run("export", db, "-") == (0, "alice\tKNOWS\tbob\n")
+    assert run("export", db, "-") == (0, "oak\tSHADES\tfern\n")
     assert run("query", db, 'CREATE (p:P {name: "x"}) RETURN p.name', "--format", "json")[1] == json.dumps({"columns": ["p.name"], "rows": [["x"]], "row_count": 1}) + "\n"
     assert run("search", db, "MATCH (p:P) RETURN p.name") == (0, "x\n") and run("search", db, "CREATE (q:Q)")[0] == 1
     assert run("constraint-unique", db, "P", "name")[0] == 0 and run("constraints", db)[1] == "unique\tP\tname\n"
