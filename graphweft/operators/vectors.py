@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from graphweft.runtime import cut
 
 #: Bytes of query vectors that one broadcast block holds.
 QUERY_BYTES = 8 << 20
+#: Share of all rows that a search by signatures reranks.
+SIGNATURE_SHARE = 0.5
 
 
 def normalised(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -105,6 +108,40 @@ class SignatureIndex:
         near = self.rows.withColumn("distance", F.bit_count(F.col("signature").bitwiseXOR(F.lit(own).cast("long")))).orderBy("distance", "id").limit(candidates)
         return near.select("id", dot("vector", F.array(*[F.lit(float(x)) for x in unit])).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
+    def search_all(self, queries: DataFrame, k: int, share: float = SIGNATURE_SHARE) -> DataFrame:
+        """query, id, score, rank of each query (id, vector), which is no match of its own; queries go in blocks of bounded size.
+
+        Of each batch of rows the `share` nearest by Hamming distance (k + 1 at least) are reranked exactly, and k go on.
+        """
+        out, weights = None, np.uint64(1) << np.arange(len(self.planes), dtype=np.uint64)
+        for ids, block in query_blocks(queries):
+            signed = ((block @ self.planes.T >= 0) * weights).sum(1, dtype=np.uint64)
+
+            def near(batches, ids=ids, block=block, signed=signed):  # noqa: ANN001, ANN202
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    own = batch.column(0).to_numpy(zero_copy_only=False)
+                    rows = np.vstack(batch.column(1).to_numpy(zero_copy_only=False))
+                    marks = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    for n, q_ in enumerate(ids):
+                        far = np.bitwise_count(marks ^ signed[n]).astype(np.int64)
+                        far[own == q_] = len(self_planes) + 1
+                        kept = np.argsort(far, kind="stable")[: max(k + 1, int(share * len(own)))]
+                        score = rows[kept] @ block[n]
+                        best = np.lexsort((own[kept], -np.round(score, 12)))[: k + 1]
+                        best = best[own[kept][best] != q_][:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_)), pa.array(own[kept][best]), pa.array(score[best])], ["query", "id", "score"])
+
+            self_planes = self.planes
+            found = self.rows.select("id", "vector", "signature").mapInArrow(near, "query long, id long, score double")
+            found = cut(found)
+            out = found if out is None else out.unionByName(found)
+        if out is None:
+            out = self.rows.select(F.lit(None).cast("long").alias("query"), "id", F.lit(0.0).alias("score")).limit(0)
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
+        return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
     def search_exact(self, query: list[float], k: int) -> DataFrame:
         return cosine_search(self.rows.select("id", "vector"), query, k)
 

@@ -5,6 +5,7 @@ Each entry runs over whole tables. Text queries go through the query language; a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from graphweft.database import Database
 from graphweft.graph import P, PropertyGraph
 from graphweft.operators import centrality, components, embeddings, graphsage, paths, structure, vectors, walks
-from graphweft.sources import tables
+from graphweft.runtime import work_dir
+from graphweft.sources import property_files, snapshot, tables, triples
 
 Query = Callable[[SparkSession, str], DataFrame]
 STEP = tables.STEP
@@ -29,9 +31,9 @@ def text(query: str, params: dict | None = None, **rename: str) -> Query:
     return run
 
 
-def traded(op: Callable[[PropertyGraph], DataFrame]) -> Query:
+def traded(op: Callable[[PropertyGraph], DataFrame], heaviest: int = 3) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op(tables.trades(spark, sf_dir).materialised())
+        return op(tables.trades(spark, sf_dir, heaviest).materialised())
 
     return run
 
@@ -40,6 +42,13 @@ def six(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _broken(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Customers, nations and orders' graph without its regions, under two constraints that do not hold."""
+    g = tables.load(spark, sf_dir, events=False)
+    nodes = g.nodes.where(~F.array_contains("labels", "Region"))
+    return PropertyGraph.of(nodes, g.rels, next_node=g.next_node, next_rel=g.next_rel, constraints=(("unique", "Customer", "segment"), ("require", "Order", "segment")))
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -97,7 +106,7 @@ add("j_parallel", text("MATCH (o:Order)-[l:CONTAINS]->(p:Part) WHERE l.discount
 add("j_var_1_2", text("MATCH (c:Customer)-[*1..2]->(x:Region) RETURN x.name AS region, count(*) AS n"), "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 add("j_var_fixed2", text("MATCH (a:Event)-[:NEXT*2]->(b:Event) RETURN id(a) AS a, id(b) AS b"),
     f"WITH e AS (SELECT event_id, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT {9 * STEP + 1} + event_id AS a, {9 * STEP + 1} + b AS b FROM e WHERE b IS NOT NULL")
-add("j_var_prop", text("MATCH (c:Customer)-[:PLACED*1..2 {price: $p}]->(o) RETURN c.name AS name", {"p": 1.0}), "SELECT c_name AS name FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice = 1.0")
+add("j_var_prop", text("MATCH (o:Order)-[:CONTAINS*1..2 {discount: $d}]->(p) RETURN p.brand AS brand, count(*) AS n", {"d": 0.05}), "SELECT p_brand AS brand, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_discount = 0.05 GROUP BY 1")
 add("j_cartesian", text("MATCH (a:Region) MATCH (b:Nation) RETURN a.name AS a, b.name AS b"), "SELECT r_name AS a, n_name AS b FROM region CROSS JOIN nation")
 add("j_shared_var", text("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) MATCH (s:Supplier)-[:BASED_IN]->(n) RETURN n.name AS nation, count(DISTINCT c) AS customers, count(DISTINCT s) AS suppliers"),
     "SELECT n_name AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
@@ -105,7 +114,10 @@ add("j_optional", text("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Orde
 add("j_optional_where", text("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.price > 300000 RETURN c.name AS name, o.price AS price"), "SELECT c_name AS name, o_totalprice AS price FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
 add("j_optional_chain", text("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:BASED_IN]-(s:Supplier) OPTIONAL MATCH (s)<-[:SUPPLIED_BY]-(o:Order) RETURN n.name AS nation, count(DISTINCT s) AS suppliers, count(o) AS lines"),
     "SELECT n_name AS nation, count(DISTINCT s_suppkey) AS suppliers, count(l_orderkey) AS lines FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
-add("j_anti", text("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WITH c, o WHERE o IS NULL RETURN c.name AS name"), "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("j_anti", text("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.price > 400000 WITH c, o WHERE o IS NULL RETURN c.name AS name"), "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND o_custkey IS NOT NULL)")
+add("j_unwind_match", text('UNWIND ["BUILDING", "MACHINERY", "NONE"] AS s MATCH (c:Customer {segment: s})-[:IN_NATION]->(n) RETURN s AS segment, n.name AS nation, count(c) AS n'), "SELECT c_mktsegment AS segment, n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'NONE') GROUP BY 1, 2")
+add("j_shared_sums", text("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) MATCH (s:Supplier)-[:BASED_IN]->(n) RETURN n.name AS nation, count(*) AS pairs, count(DISTINCT s) AS suppliers, min(c.balance) AS low, max(s.balance) AS high"),
+    "SELECT n_name AS nation, count(*) AS pairs, count(DISTINCT s_suppkey) AS suppliers, min(c_acctbal) AS low, max(s_acctbal) AS high FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 add("j_path", text("MATCH p=(c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN size(nodes(p)) AS nodes, nodes(p)[2] AS region, size(relationships(p)) AS rels, count(*) AS n"),
     f"SELECT CAST(3 AS BIGINT) AS nodes, {STEP + 1} + n_regionkey AS region, CAST(2 AS BIGINT) AS rels, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2")
 
@@ -113,6 +125,9 @@ add("j_path", text("MATCH p=(c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RET
 add("g_count", text("MATCH (n) RETURN count(*) AS n"), "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(DISTINCT user_id) + count(DISTINCT event_type) + count(*) FROM events) AS n")
 add("g_sum", (lambda q: lambda s, d: six(q(s, d), "total"))(text("MATCH (:Order)-[l:CONTAINS]->(:Part) RETURN sum(l.quantity) AS total, count(l.quantity) AS n")), "SELECT round(sum(l_quantity), 6) AS total, count(l_quantity) AS n FROM lineitem")
 add("g_collect_sorted", text("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, n ORDER BY n.name RETURN r.name AS region, toString(collect(n.name)) AS nations"), "SELECT r_name AS region, '[' || string_agg(n_name, ', ' ORDER BY n_name) || ']' AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+add("g_collect_desc", text("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, n ORDER BY n.name DESC RETURN r.name AS region, toString(collect(n.name)) AS nations"), "SELECT r_name AS region, '[' || string_agg(n_name, ', ' ORDER BY n_name DESC) || ']' AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+add("g_collect_distinct", text("MATCH (c:Customer)-[:IN_NATION]->(n) WITH c, n ORDER BY c.segment RETURN n.name AS nation, toString(collect(DISTINCT c.segment)) AS segments"), "SELECT n_name AS nation, '[' || string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) || ']' AS segments FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+add("f_list_concat", text("MATCH (p:Part) RETURN toString([p.size] + [1, 2]) AS s, size([p.size] + []) AS n"), "SELECT '[' || p_size || ', 1, 2]' AS s, CAST(1 AS BIGINT) AS n FROM part")
 add("g_count_distinct", text("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN count(DISTINCT c) AS customers, count(DISTINCT o.status) AS statuses, count(o) AS orders"), "SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderstatus) AS statuses, count(*) AS orders FROM orders")
 add("g_group", text("MATCH (o:Order) RETURN o.status AS status, o.priority AS priority, count(*) AS n"), "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1, 2")
 add("g_having", text("MATCH (c:Customer)-[:PLACED]->(o) WITH c, count(o) AS n WHERE n > 12 RETURN c.name AS name, n"), "SELECT c_name AS name, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name HAVING count(*) > 12")
@@ -120,6 +135,9 @@ add("o_order_nulls", text("MATCH (n) WITH n.name AS name, n.balance AS balance O
     f"WITH n AS (SELECT r_name AS name, NULL::DOUBLE AS balance FROM region UNION ALL SELECT n_name, NULL FROM nation UNION ALL SELECT c_name, c_acctbal FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier UNION ALL SELECT p_name, NULL FROM part UNION ALL SELECT NULL, NULL FROM orders UNION ALL (SELECT DISTINCT event_type, NULL::DOUBLE FROM events) UNION ALL (SELECT DISTINCT NULL, user_id * NULL::DOUBLE FROM events) UNION ALL SELECT NULL, NULL FROM events) SELECT name, balance FROM n ORDER BY balance DESC NULLS FIRST, name NULLS LAST LIMIT 10 OFFSET 2")
 add("o_topk", text("MATCH (o:Order) RETURN id(o) AS id, o.price AS price ORDER BY o.price DESC, id(o) LIMIT 20"), f"SELECT {6 * STEP + 1} + o_orderkey AS id, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 add("o_skip_limit", text("MATCH (n:Nation) RETURN n.name AS name ORDER BY n.name SKIP 5 LIMIT 5"), "SELECT n_name AS name FROM nation ORDER BY n_name LIMIT 5 OFFSET 5")
+add("o_natural", text("MATCH (c:Customer) RETURN c.name AS name, c.segment AS segment SKIP 3 LIMIT 40"), "SELECT c_name AS name, c_mktsegment AS segment FROM customer ORDER BY c_custkey LIMIT 40 OFFSET 3")
+add("o_natural_distinct", text("MATCH (c:Customer) RETURN DISTINCT c.segment AS segment LIMIT 3"), "SELECT c_mktsegment AS segment FROM customer GROUP BY 1 ORDER BY min(c_custkey) LIMIT 3")
+add("o_after_with", text("MATCH (c:Customer) WITH c ORDER BY c.balance DESC, c.name LIMIT 25 MATCH (c)-[:IN_NATION]->(n) RETURN c.name AS name, n.name AS nation LIMIT 10"), "SELECT c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_name LIMIT 10")
 add("o_union", text("MATCH (c:Customer)-[:IN_NATION]->(n) RETURN n.name AS name UNION MATCH (s:Supplier)-[:BASED_IN]->(n) RETURN n.name AS name"), "SELECT n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 add("o_union_all", text("MATCH (c:Customer) RETURN c.name AS name, c.balance AS balance UNION ALL MATCH (s:Supplier) RETURN s.name AS name, s.balance AS balance"), "SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier")
 add("o_unwind", text("UNWIND [1, 2, 3] AS x MATCH (r:Region) RETURN x, r.name AS region, x * 10 AS y"), "SELECT CAST(x AS BIGINT) AS x, r_name AS region, CAST(x * 10 AS BIGINT) AS y FROM region CROSS JOIN (VALUES (1), (2), (3)) t(x)")
@@ -127,6 +145,10 @@ add("c_unique", lambda s, d: tables.load(s, d).violations("unique", "Customer",
     f"SELECT {3 * STEP + 1} + min(c_custkey) AS a, {3 * STEP + 1} + min(c_custkey) FILTER (WHERE k > 1) AS b FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM customer) GROUP BY c_mktsegment HAVING count(*) > 1")
 add("c_required", lambda s, d: tables.load(s, d).violations("require", None, "name").groupBy().agg(F.count("first").alias("n")), "SELECT (SELECT count(*) FROM orders) + (SELECT count(DISTINCT user_id) + count(*) FROM events) AS n")
 add("s_validate", lambda s, d: tables.load(s, d).problems().groupBy("problem").agg(F.count(F.lit(1)).alias("n")), "SELECT 'x' AS problem, CAST(1 AS BIGINT) AS n WHERE false")
+add("s_problems", lambda s, d: _broken(s, d).problems().groupBy("problem").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT 'dangling dst' AS problem, count(*) AS n FROM nation UNION ALL SELECT 'unique', count(*) FROM (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'require', count(*) FROM orders")
+add("s_counts", lambda s, d: s.createDataFrame([(k, v) for k, v in tables.load(s, d).stats().items() if k != "symbols"], "what string, n long"),
+    "SELECT 'nodes' AS what, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(DISTINCT user_id) + count(DISTINCT event_type) + count(*) FROM events) AS n UNION ALL SELECT 'relationships', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT 2 * count(*) - count(DISTINCT user_id) FROM events)")
 add("s_stats", lambda s, d: tables.load(s, d).rels.groupBy("type").agg(F.count(F.lit(1)).alias("n")),
     "SELECT 'IN_REGION' AS type, count(*) AS n FROM nation UNION ALL SELECT 'IN_NATION', count(*) FROM customer UNION ALL SELECT 'BASED_IN', count(*) FROM supplier UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SUPPLIED_BY', count(*) FROM lineitem UNION ALL SELECT 'PERFORMED', count(*) FROM events UNION ALL SELECT 'NEXT', count(*) - count(DISTINCT user_id) FROM events")
 add("s_find_nodes", lambda s, d: tables.load(s, d).find_nodes("Part", "size", 7).select("id", F.col(P + "name").alias("name")), f"SELECT {5 * STEP + 1} + p_partkey AS id, p_name AS name FROM part WHERE p_size = 7")
@@ -171,8 +193,28 @@ add("a_traverse", traded(lambda g: paths.traverse(g, BASE, "TRADES").select("id"
 add("a_bfs_dist", traded(lambda g: paths.distances(g, g.nodes.select(F.col("id").alias("source")), "TRADES").select("source", "id", F.col("depth").cast("long").alias("depth"))), f"{TRADES}{DIST} SELECT {BASE} + s AS source, {BASE} + id AS id, CAST(d AS BIGINT) AS depth FROM best")
 add("a_dijkstra_dist", traded(lambda g: six(paths.shortest_distances(g, BASE, "weight", "TRADES").select("id", "distance"), "distance")),
     f"{TRADES}, walk(id, d, n) AS (SELECT 0, 0.0::DOUBLE, 0 UNION SELECT b, min(d + w), any_value(n + 1) FROM walk JOIN e ON walk.id = e.a WHERE n < 24 GROUP BY b) SELECT {BASE} + id AS id, round(min(d), 6) AS distance FROM walk GROUP BY 1")
-add("a_simple_paths", traded(lambda g: paths.simple_paths(g, BASE, BASE + 1, 5, type_="TRADES").groupBy(F.size("path").cast("long").alias("nodes")).agg(F.count(F.lit(1)).alias("n"))),
-    f"{TRADES}, p(v1, path) AS (SELECT 0, [0] UNION ALL SELECT b, list_append(path, b) FROM p JOIN e ON p.v1 = e.a WHERE v1 <> 1 AND len(path) < 6 AND NOT list_contains(path, b)) SELECT CAST(len(path) AS BIGINT) AS nodes, count(*) AS n FROM p WHERE v1 = 1 GROUP BY 1")
+DENSE = TRADES.replace("r <= 3", "r <= 6")
+add("a_simple_paths", traded(lambda g: _all_targets(g), 6),
+    f"{DENSE}, p(v1, path) AS (SELECT 0, [0] UNION ALL SELECT b, list_append(path, b) FROM p JOIN e ON p.v1 = e.a WHERE len(path) < 5 AND NOT list_contains(path, b)) SELECT {BASE} + v1 AS goal, CAST(len(path) AS BIGINT) AS nodes, count(*) AS n FROM p WHERE v1 IN (SELECT b FROM e GROUP BY 1 ORDER BY count(*) DESC, b LIMIT 3) AND v1 <> 0 GROUP BY 1, 2")
+add("a_bfs_path", traded(lambda g: _path_lengths(g), 6),
+    f"{DENSE}{DIST} SELECT {BASE} + id AS goal, CAST(d AS BIGINT) AS steps FROM best WHERE s = 0 AND id IN (SELECT b FROM e GROUP BY 1 ORDER BY count(*) DESC, b LIMIT 3) AND id <> 0")
+
+
+def _goals(g: PropertyGraph) -> list[int]:
+    """The three nations that most trade goes to."""
+    return [r.dst for r in g.rels.groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(3).collect() if r.dst != BASE]
+
+
+def _all_targets(g: PropertyGraph) -> DataFrame:
+    out = None
+    for goal in _goals(g):
+        found = paths.simple_paths(g, BASE, goal, 4, type_="TRADES").groupBy(F.size("path").cast("long").alias("nodes")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(goal).cast("long").alias("goal"), "nodes", "n")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _path_lengths(g: PropertyGraph) -> DataFrame:
+    return g.spark.createDataFrame([(goal, len(paths.bfs_path(g, BASE, goal, "TRADES")) - 1) for goal in _goals(g)], "goal long, steps long")
 
 
 def _places(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -206,13 +248,14 @@ KNN = "SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM
 for _n, _label, _where in (("a_knn", None, ""), ("a_knn_filtered", "Even", "AND r.x % 2 = 0")):
     add(_n, traded(lambda g, label=_label: six(structure.nearest_neighbours(PropertyGraph.of(g.nodes.withColumn("labels", F.when(F.col("id") % 2 == 1, F.array(F.lit("Even"))).otherwise(F.array().cast("array<string>"))), g.rels), 3, "TRADES", label=label), "score").select("id", "other", "score", F.col("rank").cast("long").alias("rank"))),
         f"{TRADES}, n AS ({KNN.format(where=_where)}) SELECT {BASE} + x AS id, {BASE} + y AS other, round(s, 6) AS score, r AS rank FROM n WHERE r <= 3")
-add("a_mst_weight", traded(lambda g: structure.minimum_spanning_forest(g, "weight", "TRADES").agg(F.count(F.lit(1)).alias("edges"))), f"{TRADES}, c(s, id) AS (SELECT id, id FROM v UNION SELECT s, y FROM c JOIN nb ON c.id = nb.x) SELECT count(*) - count(DISTINCT m) AS edges FROM (SELECT s, min(id) AS m FROM c GROUP BY 1)")
+add("a_mst_weight", traded(lambda g: structure.minimum_spanning_forest(g, "weight", "TRADES").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))),
+    f"{TRADES}, t AS (SELECT a, b, w, a * 1000 + b AS k FROM e), c(k, x) AS (SELECT k, a FROM t UNION SELECT c.k, CASE WHEN l.a = c.x THEN l.b ELSE l.a END FROM c JOIN t ON t.k = c.k JOIN t l ON (l.a = c.x OR l.b = c.x) AND (l.w < t.w OR (l.w = t.w AND l.k < t.k))) SELECT count(*) AS edges, round(sum(w), 6) AS weight FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = t.k AND c.x = t.b)")
 add("a_label_prop", traded(lambda g: components.label_propagation(g, "TRADES")))
 add("a_louvain", traded(lambda g: components.louvain(g, "TRADES", 4)))
-add("a_articulation", traded(lambda g: structure.articulation_points(g, "TRADES")),
-    f"{TRADES}, r(x, s, id) AS (SELECT c.id, (SELECT min(id) FROM v WHERE v.id <> c.id), (SELECT min(id) FROM v WHERE v.id <> c.id) FROM v c UNION SELECT r.x, r.s, nb.y FROM r JOIN nb ON nb.x = r.id WHERE nb.y <> r.x), n AS (SELECT x, count(DISTINCT id) AS n FROM r GROUP BY 1) SELECT {BASE} + x AS id FROM n WHERE n < (SELECT count(*) FROM v) - 1 AND x IN (SELECT x FROM nb)")
-add("a_bridges", traded(lambda g: structure.bridges(g, "TRADES")))
-add("a_max_flow", traded(lambda g: g.spark.createDataFrame([(structure.max_flow(g, BASE, BASE + 1, "weight", "TRADES"),)], "flow double")))
+add("a_articulation", lambda s, d: structure.articulation_points(_places(s, d)),
+    f"SELECT {2 * STEP + 1} + n_nationkey AS id FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT {STEP + 1} + n_regionkey FROM nation GROUP BY n_regionkey HAVING count(*) > 1")
+add("a_bridges", lambda s, d: structure.bridges(_places(s, d)), f"SELECT {11 * STEP + 1} + n_nationkey AS id FROM nation UNION ALL SELECT {12 * STEP + 1} + c_custkey FROM customer")
+add("a_max_flow", traded(lambda g: g.spark.createDataFrame([(goal, structure.max_flow(g, BASE, goal, "weight", "TRADES")) for goal in _goals(g)], "goal long, flow double"), 6))
 add("a_random_walk", traded(lambda g: walks.random_walks(g, g.nodes.select(F.col("id").alias("start")), 6, "TRADES", seed=11).select("start", F.size("walk").alias("n"), F.array_join(F.transform("walk", lambda x: x.cast("string")), " ").alias("walk"))))
 
 # vectors and embeddings
@@ -234,6 +277,14 @@ def _signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("v_approx_topk", _signature, "SELECT vec_id AS id, round(list_cosine_similarity((SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0), embedding::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity((SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0), embedding::DOUBLE[]) DESC, vec_id LIMIT 10")
+def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _vectors(spark, sf_dir)
+    dims = len(base.first()["vector"])
+    found = vectors.SignatureIndex(base, dims, seed=3).search_all(base.where("id % 50 = 0"), 10)
+    return six(found.select("query", "id", "score", F.col("rank").cast("long").alias("rank")), "score")
+
+
+add("v_signature_topk", _signatures)
 add("v_hnsw_topk", lambda s, d: six(vectors.HnswIndex(_vectors(s, d), 16, 100).search_all(_vectors(s, d).where("id % 50 = 0"), 10, 100), "score"))
 add("v_flat_topk", lambda s, d: six(vectors.HnswIndex(_vectors(s, d), 16, 100, flat=True).search_all(_vectors(s, d).where("id % 50 = 0"), 10, 100, 8), "score"))
 
@@ -260,3 +311,151 @@ def _trained(g: PropertyGraph) -> DataFrame:
 
 add("e_graphsage_infer", traded(lambda g: _joined(graphsage.infer(g, graphsage.Model.create(graphsage.Config(2, 3, 4, 5, True, 9)), _features(g), "TRADES"))))
 add("e_graphsage_train", traded(_trained))
+
+
+# writes, over whole tables: what is read back from the graph that they make
+def written(write: str, read: str, params: dict | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Database(spark, _places(spark, sf_dir))
+        db.query(write, params)
+        return db.query(read, readonly=True, ordered=False).df
+
+    return run
+
+
+BY_NATION, BY_SEGMENT = "MATCH (c:Customer)-[:IN_NATION]->(n) RETURN n.name AS nation, count(c) AS n", "MATCH (c:Customer) RETURN c.segment AS segment, count(c) AS n"
+add("w_create", written('MATCH (n:Nation) CREATE (n)-[:HAS {rank: 1}]->(t:Tag {name: n.name + "-tag"})', "MATCH (n:Nation)-[h:HAS]->(t:Tag) RETURN n.name AS nation, t.name AS tag, h.rank AS rank"), "SELECT n_name AS nation, n_name || '-tag' AS tag, CAST(1 AS BIGINT) AS rank FROM nation")
+add("w_script", written('CREATE (a:Log {n: 1}); MATCH (a:Log) CREATE (a)-[:THEN]->(b:Log {n: a.n + 1}); MATCH (r:Region) MATCH (l:Log) CREATE (r)-[:SAW]->(l)', "MATCH (r:Region)-[:SAW]->(l:Log) RETURN r.name AS region, l.n AS n"), "SELECT r_name AS region, CAST(k AS BIGINT) AS n FROM region CROSS JOIN (VALUES (1), (2)) t(k)")
+add("w_merge", written("MATCH (c:Customer) MERGE (s:Segment {name: c.segment}) MERGE (c)-[:OF]->(s)", "MATCH (c:Customer)-[:OF]->(s:Segment) RETURN s.name AS segment, count(c) AS n"), "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
+add("w_merge_on", written("MATCH (c:Customer) MERGE (s:Segment {name: c.segment}) ON CREATE SET s.made = 1 ON MATCH SET s.again = true", "MATCH (s:Segment) RETURN s.name AS segment, s.made AS made, s.again AS again"), "SELECT c_mktsegment AS segment, CAST(1 AS BIGINT) AS made, CASE WHEN count(*) > 1 THEN true END AS again FROM customer GROUP BY 1")
+add("w_set", written('MATCH (c:Customer) WHERE c.balance < 0 SET c.debt = -c.balance, c.segment = "DEBTOR"', 'MATCH (c:Customer {segment: "DEBTOR"}) RETURN c.name AS name, c.debt AS debt'), "SELECT c_name AS name, -c_acctbal AS debt FROM customer WHERE c_acctbal < 0")
+add("w_set_merge", written("MATCH (n:Nation) SET n += {code: toLower(n.name), name: null}", "MATCH (n:Nation) RETURN n.code AS code, coalesce(n.name, \"none\") AS name"), "SELECT lower(n_name) AS code, 'none' AS name FROM nation")
+add("w_set_replace", written("MATCH (r:Region) SET r = {title: r.name}", "MATCH (r:Region) RETURN r.title AS title, r.name IS NULL AS gone"), "SELECT r_name AS title, true AS gone FROM region")
+add("w_remove", written("MATCH (c:Customer) WHERE c.balance > 5000 REMOVE c:Customer, c.segment", BY_SEGMENT), "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE NOT c_acctbal > 5000 GROUP BY 1")
+add("w_delete", written("MATCH (c:Customer) WHERE c.balance < 0 DETACH DELETE c", BY_NATION), "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 GROUP BY 1")
+add("w_delete_rels", written("MATCH (c:Customer)-[i:IN_NATION]->(n) WHERE c.balance < 0 DELETE i", BY_NATION), "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 GROUP BY 1")
+add("w_aggregate", written("MATCH (c:Customer) WITH c.segment AS s, count(c) AS n CREATE (t:Total {segment: s, n: n})", "MATCH (t:Total) RETURN t.segment AS segment, t.n AS n"), "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1")
+
+
+def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether writes say that they changed something, and how many customers there are after each."""
+    db, out = Database(spark, _places(spark, sf_dir)), []
+    for text_ in ("MATCH (c:Customer) RETURN count(c)", 'MATCH (c:Missing) SET c.x = 1', "MATCH (r:Region) MERGE (s:Region {name: r.name})", "CREATE (c:Customer {name: \"new\"})"):
+        changed = db.query(text_).mutated
+        out.append((len(out), changed, db.query("MATCH (c:Customer) RETURN count(c) AS n").rows()[0][0]))
+    return spark.createDataFrame(out, "step long, mutated boolean, customers long")
+
+
+add("w_mutated", _mutated, "SELECT CAST(k AS BIGINT) AS step, k = 3 AS mutated, (SELECT count(*) FROM customer) + CASE WHEN k = 3 THEN 1 ELSE 0 END AS customers FROM range(4) t(k)")
+
+
+def _crud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's own calls: new nodes and relationships, changed and removed keys and labels."""
+    g = _places(spark, sf_dir)
+    first, rel = g.next_node, g.next_rel
+    g = g.add_nodes([(["Port"], {"name": "north", "depth": 12}), (["Port"], {"name": "south"})]).add_rels([(first, "FERRY", first + 1, {"hours": 3}), (2 * STEP + 1, "HAS", first, {})])
+    g = g.set_property("node", first + 1, "depth", 7).unset_property("node", first, "depth").add_label(first + 1, "Deep").set_property("rel", rel, "hours", 4)
+    kept = g.nodes.where(F.array_contains("labels", "Port")).select("id", F.array_join("labels", ",").alias("labels"), F.col(P + "name").alias("name"), F.col(P + "depth").alias("depth"))
+    ends = g.rels.where(F.col("type").isin("FERRY", "HAS")).groupBy(F.col("dst").alias("to")).agg(F.max(P + "hours").alias("hours"))
+    return kept.join(ends, F.col("id") == F.col("to"), "left").drop("to")
+
+
+add("w_crud", _crud, f"SELECT {10 * STEP} AS id, 'Port' AS labels, 'north' AS name, CAST(NULL AS BIGINT) AS depth, CAST(NULL AS BIGINT) AS hours UNION ALL SELECT {10 * STEP + 1}, 'Port,Deep', 'south', 7, 4")
+
+
+# constraints, indexes, transactions, procedures
+def _enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of writes that break constraints, and the customers that are left: as many as before."""
+    from graphweft.errors import GraphError
+
+    db, out = Database(spark, _places(spark, sf_dir)), []
+    db.create_constraint("unique", "Customer", "name")
+    db.create_constraint("require", "Nation", "name")
+    for text_ in ("MATCH (c:Customer) SET c.name = \"same\"", "MATCH (n:Nation) REMOVE n.name", "MATCH (c:Customer) WHERE c.balance < 0 SET c.segment = \"x\""):
+        try:
+            db.query(text_)
+            status = "OK"
+        except GraphError as e:
+            status = e.status
+        out.append((status, db.query("MATCH (c:Customer) RETURN count(DISTINCT c.name) AS n").rows()[0][0]))
+    return spark.createDataFrame(out, "status string, names long")
+
+
+add("c_enforced", _enforced, "SELECT s AS status, (SELECT count(DISTINCT c_name) FROM customer) AS names FROM (VALUES ('EXISTS'), ('NOT_FOUND'), ('OK')) t(s)")
+
+
+def _transacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark, _places(spark, sf_dir))
+    kept, dropped = db.begin(), db.begin()
+    kept.query("MATCH (c:Customer) WHERE c.balance < 0 SET c.segment = \"DEBTOR\"")
+    dropped.query("MATCH (c:Customer) SET c.segment = \"NONE\"")
+    dropped.rollback()
+    kept.commit()
+    return db.query(BY_SEGMENT, readonly=True, ordered=False).df
+
+
+add("c_transaction", _transacted, "SELECT CASE WHEN c_acctbal < 0 THEN 'DEBTOR' ELSE c_mktsegment END AS segment, count(*) AS n FROM customer GROUP BY 1")
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the sizes that an index is asked for, all at once."""
+    asked = spark.createDataFrame([(7,), (11,), (999,)], "wanted long")
+    return tables.load(spark, sf_dir).build_index("Part", "size").lookup(asked, "wanted").select("wanted", "id")
+
+
+add("c_index_lookup", _indexed, f"SELECT CAST(p_size AS BIGINT) AS wanted, {5 * STEP + 1} + p_partkey AS id FROM part WHERE p_size IN (7, 11, 999)")
+
+
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark, tables.load(spark, sf_dir))
+    db.register_procedure("around", lambda n: [(n - 1,), (n + 1,)], {"size": "int"})
+    return db.query("MATCH (p:Part) WHERE p.size < 4 CALL around(p.size) YIELD size AS s RETURN p.name AS name, s", readonly=True, ordered=False).df
+
+
+add("x_procedure", _called, "SELECT p_name AS name, CAST(p_size + k AS BIGINT) AS s FROM part CROSS JOIN (VALUES (-1), (1)) t(k) WHERE p_size < 4")
+
+
+# sources and sinks: out to files and in again
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _named_places(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    g = _places(spark, sf_dir)
+    return PropertyGraph.of(g.nodes.withColumn("ext", F.col("id").cast("string")), g.rels, next_node=g.next_node, next_rel=g.next_rel)
+
+
+def _triples_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "triples")
+    triples.export_triples(_named_places(spark, sf_dir), path)
+    back = triples.import_triples(PropertyGraph.empty(spark), path).graph
+    return triples.triples_of(back).groupBy("type", "target").agg(F.count_distinct("source").alias("n"))
+
+
+add("io_triples", _triples_round, f"SELECT 'IN_NATION' AS type, CAST({2 * STEP + 1} + c_nationkey AS VARCHAR) AS target, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'IN_REGION', CAST({STEP + 1} + n_regionkey AS VARCHAR), count(*) FROM nation GROUP BY 2")
+
+
+def _properties_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, rels = _fresh(spark, "nodes"), _fresh(spark, "rels")
+    property_files.export_property_graph(_named_places(spark, sf_dir), nodes, rels)
+    db = Database(spark, property_files.import_property_graph(PropertyGraph.empty(spark), nodes, rels).graph)
+    return db.query("MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r) RETURN c.name AS name, c.balance AS balance, n.name AS nation, r.name AS region", readonly=True, ordered=False).df
+
+
+PLACED = "SELECT c_name AS name, c_acctbal AS balance, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+add("io_properties", _properties_round, PLACED)
+
+
+def _snapshot_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved twice (the second version is the current one), opened, sealed and unsealed."""
+    at, sealed = _fresh(spark, "snapshot"), _fresh(spark, "sealed")
+    db = Database(spark, _places(spark, sf_dir))
+    snapshot.save(db.graph, at)
+    db.query("MATCH (c:Customer) WHERE c.balance < 0 DETACH DELETE c")
+    snapshot.save(db.graph, at)
+    snapshot.encrypt(snapshot.load(spark, at), sealed, "a long password")
+    opened = Database(spark, snapshot.decrypt(spark, sealed, "a long password"))
+    return opened.query("MATCH (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r) RETURN c.name AS name, c.balance AS balance, n.name AS nation, r.name AS region", readonly=True, ordered=False).df
+
+
+add("io_snapshot", _snapshot_round, PLACED + " WHERE c_acctbal >= 0")

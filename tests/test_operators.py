@@ -115,3 +115,21 @@ def test_vectors(spark):
     assert [x.id for x in vectors.SignatureIndex(base, 8).search(query, 5, 60).collect()] == best
     found = [x.id for x in vectors.HnswIndex(base, 8, 40).search(query, 5, 40).collect()]
     assert len(set(found) & set(best)) >= 4
+
+
+def test_recall_on_the_tables(spark, tmp_path):
+    """Every index against the exact search, for all queries with an id divisible by 50; and saved indexes answer alike."""
+    base = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector").cache()
+    asked = base.where("id % 50 = 0")
+    exact = {(r.query, r.id) for r in vectors.cosine_search_all(base, asked, 10).collect()}
+    signature = vectors.SignatureIndex(base, len(base.first().vector), seed=3)
+    graph = vectors.HnswIndex(base, 16, 100)
+    flat = vectors.HnswIndex(base, 16, 100, flat=True)
+    found = {"signature": signature.search_all(asked, 10), "graph": graph.search_all(asked, 10, 100), "flat": flat.search_all(asked, 10, 100, 8)}
+    recall = {name: len({(r.query, r.id) for r in df.collect()} & exact) / len(exact) for name, df in found.items()}
+    assert min(recall.values()) >= 0.9, recall
+    one = [float(x) for x in base.where("id = 50").first().vector]
+    for k, (index, search) in enumerate(((signature, lambda x: x.search(one, 5, 200)), (graph, lambda x: x.search(one, 5, 100)), (flat, lambda x: x.search(one, 5, 100, 8)))):
+        index.save(f"file://{tmp_path}/{k}")
+        back = type(index).load(spark, f"file://{tmp_path}/{k}")
+        assert [r.id for r in search(back).collect()] == [r.id for r in search(index).collect()]
