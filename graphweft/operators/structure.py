@@ -75,7 +75,9 @@ def nearest_neighbours(graph: PropertyGraph, k: int, type_: str | None = None, s
     sized = shared.join(d.select("id", F.col("k").alias("ki")), "id").join(d.select(F.col("id").alias("other"), F.col("k").alias("ko")), "other")
     scored = sized.join(cand, "other", "left_semi").select("id", "other", (F.col("c") / (F.col("ki") + F.col("ko") - F.col("c"))).alias("score"))
     if zeros:
-        rest = start.crossJoin(cand).where("id <> other").join(scored.select("id", "other"), ["id", "other"], "left_anti").withColumn("score", F.lit(0.0))
+        # a source short of k has under k scored others: of the 2 k least ids, k at least are neither scored nor itself
+        least = cand.orderBy("other").limit(2 * k)
+        rest = start.crossJoin(F.broadcast(least)).where("id <> other").join(scored.select("id", "other"), ["id", "other"], "left_anti").withColumn("score", F.lit(0.0))
         scored = scored.unionByName(rest)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -50,6 +50,19 @@ def test_structure(spark, graph):
     assert [(x.other, round(x.score, 3)) for x in near] == [(2, 0.333), (3, 0.25)]
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 9])
+def test_neighbours_of_no_likeness_fill_up(spark, k):
+    g = PropertyGraph.empty(spark).add_nodes([([], {})] * 9)
+    ends = [(1, 2), (1, 3), (4, 3), (5, 6), (7, 6), (7, 3), (8, 2)]
+    g = g.add_rels([(a, "R", b, {}) for a, b in ends]).materialised()
+    near = {n: {x for e in ends if n in e for x in e if x != n} for n in range(1, 10)}
+    got = {}
+    for x in structure.nearest_neighbours(g, k, zeros=True).orderBy("id", "rank").collect():
+        got.setdefault(x.id, []).append((x.other, round(x.score, 6)))
+    score = lambda a, b: round(len(near[a] & near[b]) / max(len(near[a] | near[b]), 1), 6)
+    assert got == {n: sorted(((m, score(n, m)) for m in near if m != n), key=lambda x: (-x[1], x[0]))[:k] for n in near}
+
+
 def test_paths(graph):
     assert paths.dijkstra(graph, 1, 3, "weight") == ([1, 2, 3], 7.0)
     assert paths.a_star(graph, 1, 3, "weight", lambda c: F.lit(0.0)) == ([1, 2, 3], 7.0)
