@@ -368,10 +368,12 @@ def _enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of writes that break constraints, and the customers that are left: as many as before."""
     from graphweft.errors import GraphError
 
-    db, out = Database(spark, _places(spark, sf_dir)), []
-    db.create_constraint("unique", "Customer", "name")
+    g = _places(spark, sf_dir)
+    g = PropertyGraph.of(g.nodes.withColumn(P + "code", F.col("id")), g.rels, next_node=g.next_node, next_rel=g.next_rel)
+    db, out = Database(spark, g), []
+    db.create_constraint("unique", "Customer", "code")
     db.create_constraint("require", "Nation", "name")
-    for text_ in ("MATCH (c:Customer) SET c.name = \"same\"", "MATCH (n:Nation) REMOVE n.name", "MATCH (c:Customer) WHERE c.balance < 0 SET c.segment = \"x\""):
+    for text_ in ("MATCH (c:Customer) SET c.code = 7", "MATCH (n:Nation) REMOVE n.name", "MATCH (c:Customer) WHERE c.balance < 0 SET c.segment = \"x\""):
         try:
             db.query(text_)
             status = "OK"
