@@ -21,6 +21,8 @@ TRAIN_PER_LANGUAGE = 400
 #: Fitting rows of all languages, at most; and languages that are learned, the most frequent first.
 TRAIN_ROWS = 16384
 MOST_LANGUAGES = 512
+#: Parts that a language's keys are ranked in before the whole.
+PARTS = 64
 CENTROIDS = 4
 #: Lengths in characters of the pieces of training texts from which short texts' cosines are learned.
 PIECES = (4, 12, 32, 100, 300, 1000)
@@ -189,8 +191,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if len(names) * per_language > TRAIN_ROWS:
         per_language = max(1, TRAIN_ROWS // len(names))
     labelled = labelled.select(F.xxhash64(ident, text_col_).alias("r1"), F.xxhash64(F.lit("second"), text_col_, ident).alias("r2"), text, own.alias("lang")).where(F.col("lang").isin(names))
-    order = Window.partitionBy("lang").orderBy("r1", "r2")
-    chosen = labelled.select("r1", "r2", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    # first of each part of a language, then of the language: its one task reads PARTS * per_language keys at most
+    chosen = labelled.select("r1", "r2", "lang").distinct().withColumn("part", F.pmod("r1", F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy("r1", "r2")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    chosen = chosen.drop("part")
     # bounded: TRAIN_ROWS keys
     rows = labelled.join(F.broadcast(chosen), ["r1", "r2", "lang"]).dropDuplicates(["r1", "r2", "lang"]).select("text", "lang")
 

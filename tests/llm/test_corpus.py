@@ -278,6 +278,19 @@ def test_language_id_of_a_long_text(spark):
     assert all(x.lang_pred == x.lang and 0 < x.score <= 1 and not x.rejected for x in got)
 
 
+def test_language_id_fits_the_same_rows_in_parts(spark, monkeypatch):
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        rows.append((i % 250, " ".join("".join(rng.choices("abcdefgh" if i % 10 else "mnopqrst", k=5)) for _ in range(8)), "xx" if i % 10 else "yy"))
+    table = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string")
+    models = []
+    for parts in (1, 64):
+        monkeypatch.setattr(language_id, "PARTS", parts)
+        models.append(language_id.fit(table, per_language=20))
+    assert models[0].names == models[1].names == ["xx", "yy"]
+    assert np.array_equal(models[0].centroids, models[1].centroids) and np.array_equal(models[0].least, models[1].least)
+
+
 def test_language_id_rejects_by_distance(spark):
     """Texts of a language that was not learned and random letters go; held-out texts of those learned stay."""
     r = random.Random(10)
