@@ -101,7 +101,7 @@ class Training:
     accuracy: float = 0.0
 
 
-def forward(model: Model, x: np.ndarray, mean: np.ndarray, linear: bool) -> tuple[np.ndarray, list]:
+def forward(model: Model, x: np.ndarray, mean: np.ndarray | Neighbours, linear: bool) -> tuple[np.ndarray, list]:
     """Outputs and what the backward pass needs. mean: row-stochastic neighbour matrix. linear: no tanh at the end."""
     h, kept = x, []
     for k, (own, near, bias) in enumerate(zip(model.own, model.near, model.bias, strict=True)):
@@ -126,7 +126,7 @@ def loss_of(z: np.ndarray, y: np.ndarray, loss: str) -> tuple[float, np.ndarray]
     return float(-(y * np.log(np.maximum(p, 1e-12))).sum(1).mean()), (p - y) / len(z)
 
 
-def backward(model: Model, mean: np.ndarray, kept: list, grad: np.ndarray, linear: bool) -> list[tuple]:
+def backward(model: Model, mean: np.ndarray | Neighbours, kept: list, grad: np.ndarray, linear: bool) -> list[tuple]:
     out = []
     for k in reversed(range(len(model.own))):
         h, m, y = kept[k]
@@ -137,33 +137,48 @@ def backward(model: Model, mean: np.ndarray, kept: list, grad: np.ndarray, linea
     return out[::-1]
 
 
-def _matrix(ids: np.ndarray, edges: list) -> np.ndarray:
-    at = {int(i): k for k, i in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for e in edges:
-        if e.near in at and e.far in at:
-            m[at[e.near], at[e.far]] = 1
-    return m / np.maximum(m.sum(1, keepdims=True), 1)
+class Neighbours:
+    """Row-stochastic matrix of rows and their neighbours, kept as links: memory grows with links, not with n * n."""
+
+    def __init__(self, n: int, rows: np.ndarray, columns: np.ndarray, share: np.ndarray | None = None):
+        self.n, self.rows, self.columns = n, rows, columns
+        self.share = 1.0 / np.bincount(rows, minlength=n)[rows] if share is None else share
+
+    @property
+    def T(self) -> Neighbours:  # noqa: N802
+        return Neighbours(self.n, self.columns, self.rows, self.share)
+
+    def __matmul__(self, h: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.rows, self.share * h[self.columns, j], self.n) for j in range(h.shape[1])], axis=1)
+
+
+def _neighbours(ids: np.ndarray, edges: DataFrame, fitted: DataFrame) -> Neighbours:
+    """Links among the fitted rows alone come to the driver. ids rise."""
+    for end in ("near", "far"):
+        edges = edges.join(fitted.select(F.col("id").alias(end)), end, "left_semi")
+    links = edges.select("near", "far").toArrow()
+    near, far = (np.searchsorted(ids, links.column(c).to_numpy(), "right") - 1 for c in ("near", "far"))
+    return Neighbours(len(ids), near, far)
 
 
 def train(graph: PropertyGraph, model: Model, data: DataFrame, epochs: int = 1, rate: float = 0.01, batch: int = 0, validation: float = 0.0, loss: str = "mse", tolerance: float = 0.0, seed: int = 0, type_: str | None = None) -> Training:
     """Fit in place on rows (id, features, targets), in id order; the last share `validation` of them validates.
 
-    Targets of bce lie in [0, 1]; rows of softmax sum to 1. Rows and their sampled neighbours go to the driver, up to
-    TRAIN_ROWS; inference stays distributed.
+    Targets of bce lie in [0, 1]; rows of softmax sum to 1. Up to TRAIN_ROWS rows, and at most `sample` links of each
+    that end in such rows, go to the driver; inference stays distributed.
     """
     if loss not in LOSSES or epochs < 1 or not 0 <= validation < 1 or rate <= 0:
         raise GraphError("INVALID_ARGUMENT", "training options")
     rows = data.orderBy("id").limit(TRAIN_ROWS + 1).collect()
     if len(rows) > TRAIN_ROWS:
         raise GraphError("LIMIT", f"more than {TRAIN_ROWS} rows")
-    ids = np.array([r["id"] for r in rows])
+    ids = np.array([r["id"] for r in rows], np.int64)
     x, y = np.array([r["features"] for r in rows], float), np.array([r["targets"] for r in rows], float)
     if x.shape[1:] != (model.config.inputs,) or y.shape[1:] != (model.config.outputs,):
         raise GraphError("INVALID_ARGUMENT", "sizes of features or targets")
     if loss == "bce" and ((y < 0) | (y > 1)).any() or loss == "softmax" and (np.abs(y.sum(1) - 1) > 1e-6).any():
         raise GraphError("INVALID_ARGUMENT", f"targets of {loss}")
-    mean = _matrix(ids, sampled(graph, model.config, type_).collect())
+    mean = _neighbours(ids, sampled(graph, model.config, type_), data)
     n = len(ids)
     held = int(round(n * validation))
     fit, val = np.arange(n - held), np.arange(n - held, n)
