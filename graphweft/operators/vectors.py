@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,8 @@ from graphweft.runtime import cut
 QUERY_BYTES = 8 << 20
 #: Share of all rows that a search by signatures reranks.
 SIGNATURE_SHARE = 0.5
+#: Bytes of vectors that one small-world graph holds; a task with more rows makes several.
+SHARD_BYTES = 64 << 20
 
 
 def normalised(vectors: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
@@ -170,6 +171,26 @@ class Hnsw:
         for i, top in enumerate(levels.tolist()):
             self._add(i, top)
 
+    def packed(self) -> tuple:
+        """A row of HnswIndex.graphs: little-endian arrays; a level lists its nodes, how many links each has, and the links."""
+        levels = []
+        for links in self.links:
+            parts = list(links), [len(x) for x in links.values()], [j for x in links.values() for j in x]
+            levels.append(dict(zip(("nodes", "sizes", "links"), (np.array(x, "<i4").tobytes() for x in parts), strict=True)))
+        return self.ids.astype("<i8").tobytes(), self.v.astype("<f8").tobytes(), self.entry, levels
+
+    @staticmethod
+    def unpacked(ids: bytes, vectors: bytes, entry: int, levels: list[dict]) -> Hnsw:
+        out = Hnsw.__new__(Hnsw)
+        out.ids = np.frombuffer(ids, "<i8")
+        out.v, out.entry, out.top, out.links = np.frombuffer(vectors, "<f8").reshape(len(out.ids), -1), entry, len(levels) - 1, []
+        for level in levels:
+            nodes, sizes, links = (np.frombuffer(level[k], "<i4") for k in ("nodes", "sizes", "links"))
+            ends = np.cumsum(sizes)
+            links = links.tolist()
+            out.links.append({n: links[e - s : e] for n, s, e in zip(nodes.tolist(), sizes.tolist(), ends.tolist(), strict=True)})
+        return out
+
     def _near(self, q: np.ndarray, start: list[int], level: int, width: int) -> list[tuple[float, int]]:
         """Best-first search with a bounded result: (distance, row), nearest first."""
         seen = set(start)
@@ -230,20 +251,37 @@ class Hnsw:
 
 
 class HnswIndex:
-    """A graph for each partition, stored as one row each; searches ask all and merge."""
+    """Small-world graphs of at most SHARD_BYTES of vectors, a row each; searches ask all and merge."""
 
-    def __init__(self, vectors: DataFrame, m: int = 8, construct: int = 64, partitions: int | None = None, seed: int = 0, flat: bool = False):
+    SCHEMA = "ids binary, vectors binary, entry int, levels array<struct<nodes:binary,sizes:binary,links:binary>>"
+
+    def __init__(self, vectors: DataFrame, m: int = 8, construct: int = 64, partitions: int | None = None, seed: int = 0, flat: bool = False, shard_bytes: int = SHARD_BYTES):
+        """partitions: tasks that build (the session's shuffle partitions unless given); a task makes as many graphs as its rows need."""
         rows = normalised(vectors)
         n = partitions or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        binary = pa.binary()
+        kinds = [binary, binary, pa.int32(), pa.list_(pa.struct([("nodes", binary), ("sizes", binary), ("links", binary)]))]
 
-        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            parts = [b for b in batches if len(b)]
-            if parts:
-                all_ = pd.concat(parts).sort_values("id")
-                graph = Hnsw(all_["id"].to_numpy(), np.stack(all_["vector"].to_numpy()), m, construct, seed, flat)
-                yield pd.DataFrame({"graph": [pickle.dumps(graph)]})
+        def made(ids: np.ndarray, rows_: np.ndarray) -> pa.RecordBatch:
+            packed = Hnsw(ids, rows_, m, construct, seed, flat).packed()
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(packed, kinds, strict=True)], ["ids", "vectors", "entry", "levels"])
 
-        self.graphs = cut(rows.repartition(n, "id").mapInPandas(build, "graph binary"))
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, held = np.zeros(0, np.int64), None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                more = np.vstack(b.column(1).to_numpy(zero_copy_only=False))
+                ids, held = np.concatenate([ids, b.column(0).to_numpy()]), more if held is None else np.concatenate([held, more])
+                most = max(1, shard_bytes // max(8 * held.shape[1], 1))
+                while len(ids) >= most:
+                    yield made(ids[:most], held[:most])
+                    ids, held = ids[most:], held[most:]
+            if len(ids):
+                yield made(ids, held)
+
+        # in order of ids, so that a repeated task makes the same graphs
+        self.graphs = cut(rows.repartition(n, "id").sortWithinPartitions("id", "vector").mapInArrow(build, self.SCHEMA))
 
     def search_all(self, queries: DataFrame, k: int, width: int = 0, entries: int = 1) -> DataFrame:
         """query, id, score, rank; width 0 is a default from k. A query does not find the row of its own id."""
@@ -252,14 +290,15 @@ class HnswIndex:
         for block in query_blocks(queries):
             sent = spark.sparkContext.broadcast(block)
 
-            def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    for blob in b["graph"]:
-                        graph = pickle.loads(blob)
+                    for row in range(b.num_rows):
+                        graph = Hnsw.unpacked(*[b.column(c)[row].as_py() for c in ("ids", "vectors", "entry", "levels")])
                         found = [(int(i), j, s) for i, q in zip(*sent.value, strict=True) for j, s in graph.search(q, k + 1, width, entries) if j != i]
-                        yield pd.DataFrame(found, columns=["query", "id", "score"])
+                        columns = list(zip(*found, strict=True)) if found else [[]] * 3
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "id", "score"])
 
-            part = self.graphs.mapInPandas(best, "query long, id long, score double")
+            part = self.graphs.select("ids", "vectors", "entry", "levels").mapInArrow(best, "query long, id long, score double")
             out = part if out is None else out.unionByName(cut(part))
         if out is None:
             raise GraphError("INVALID_ARGUMENT", "no queries")
