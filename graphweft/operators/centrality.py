@@ -21,21 +21,37 @@ def degree(graph: PropertyGraph, type_: str | None = None, direction: str = "out
 def pagerank(graph: PropertyGraph, type_: str | None = None, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """id, rank; ranks sum to 1. What nodes without an outgoing relationship hold is dealt out evenly.
 
-    One join and one sum a round, on edges whose shares are worked out once; the lineage is cut each round.
+    A round maps ranks r to d P r + c, with one number c for all nodes, which holds the dangling mass. So ranks are a
+    weighted sum of the powers (d P)^j of the vector of ones: each power is one join and one sum, without the nodes that
+    nothing flows into, and the weights follow at the end from the dangling mass of each power.
     """
-    edges = steps_from(graph, type_).select("near", "far")
-    out_degree = edges.groupBy("near").agg(F.count(F.lit(1)).alias("k"))
     n = graph.node_count()
     if not n:
         return graph.nodes.select("id", F.lit(0.0).alias("rank"))
-    edges = cut(edges.groupBy("near", "far").agg(F.count(F.lit(1)).alias("m")).join(out_degree, "near").select("near", "far", (F.col("m") / F.col("k")).alias("share")).repartition("near"))
-    nodes = cut(graph.nodes.select("id").join(out_degree.select(F.col("near").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")))
-    ranks = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    edges = steps_from(graph, type_).select("near", "far")
+    out_degree = cut(edges.groupBy("near").agg(F.count(F.lit(1)).alias("k")))
+    edges = cut(edges.groupBy("near", "far").agg(F.count(F.lit(1)).alias("m")).join(out_degree, "near").select("near", "far", (damping * F.col("m") / F.col("k")).alias("share")).repartition("near"))
+    powers = [cut(edges.groupBy(F.col("far").alias("id")).agg(F.sum("share").alias("x")))] if iterations else []
+    for _ in range(iterations - 1):
+        powers.append(cut(edges.join(powers[-1], F.col("near") == F.col("id")).groupBy(F.col("far").alias("id")).agg(F.sum(F.col("x") * F.col("share")).alias("x"))))
+    # of the ones, and of each power but the last, which no further round reads
+    dangling = [float(n - out_degree.count())] + [0.0] * (iterations - 1)
+    every = None
+    for j, p in enumerate(powers, 1):
+        p = p.withColumn("j", F.lit(j))
+        every = p if every is None else every.unionByName(p)
+    if every is not None:
+        for r in every.join(out_degree, F.col("id") == F.col("near"), "left_anti").where(F.col("j") < iterations).groupBy("j").agg(F.sum("x").alias("lost")).collect():
+            dangling[r["j"]] = r["lost"]
+    weights = [1.0 / n]  # of powers 0, 1, ... after as many rounds as there are weights less one
     for _ in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()["lost"]
-        inflow = edges.join(ranks.select(F.col("id").alias("near"), "rank"), "near").groupBy(F.col("far").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        ranks = cut(nodes.join(inflow, "id", "left").select("id", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("flow", F.lit(0.0)) + lost / n)).alias("rank")))
-    return ranks.select("id", "rank")
+        lost = sum(w * x for w, x in zip(weights, dangling, strict=False))
+        weights = [(1 - damping) / n + damping * lost / n, *weights]
+    if every is None:
+        return graph.nodes.select("id", F.lit(weights[0]).alias("rank"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("j") + 1)
+    rows = every.select("id", (weight * F.col("x")).alias("rank")).unionByName(graph.nodes.select("id", F.lit(weights[0]).alias("rank")))
+    return rows.groupBy("id").agg(F.sum("rank").alias("rank"))
 
 
 def eigenvector(graph: PropertyGraph, type_: str | None = None, iterations: int = 20, direction: str = "both") -> DataFrame:
