@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.errors import GraphError
+
 
 def session(**conf: str) -> SparkSession:
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false"}
@@ -16,10 +18,13 @@ def session(**conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names, which all executors share; a local folder only where it is unset."""
+    """What spark.checkpoint.dir names, which all executors share; a local folder only where it is unset and one JVM does all."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.isLocal():
+            raise GraphError("INVALID_ARGUMENT", "spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/checkpoints")
     return context.getCheckpointDir().get()
 
 
