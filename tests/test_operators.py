@@ -114,6 +114,54 @@ def test_graphsage(spark, graph):
             assert abs((up - down) / 2e-6 - g[0, 0]) < 1e-5
 
 
+def test_graphsage_neighbours():
+    """The links multiply as the dense matrix does, rows without any included."""
+    import numpy as np
+
+    near, far = np.array([0, 0, 3, 2, 3, 3]), np.array([1, 2, 0, 4, 1, 2])
+    dense = np.zeros((5, 5))
+    dense[near, far] = 1
+    dense /= np.maximum(dense.sum(1, keepdims=True), 1)
+    links, h = graphsage.Neighbours(5, near, far), np.random.default_rng(2).random((5, 3))
+    assert np.allclose(links @ h, dense @ h) and np.allclose(links.T @ h, dense.T @ h)
+    none = graphsage.Neighbours(5, near[:0], far[:0])
+    assert not (none @ h).any() and not (none.T @ h).any()
+
+
+@pytest.mark.parametrize("iterations", [0, 1, 2, 9])
+def test_pagerank_with_dangling_nodes(spark, iterations):
+    """Against the plain iteration: parallel relationships, loops, a node alone, nodes without a way out."""
+    import numpy as np
+
+    n, pairs = 7, [(0, 1), (0, 1), (0, 2), (1, 3), (2, 2), (2, 5), (4, 0), (4, 3), (3, 5)]
+    nodes = spark.createDataFrame([(i, []) for i in range(n)], "id long, labels array<string>")
+    rels = spark.createDataFrame([(k, a, b, "T") for k, (a, b) in enumerate(pairs)], "id long, src long, dst long, type string")
+    flow = np.zeros((n, n))
+    for a, b in pairs:
+        flow[b, a] += 1
+    flow /= np.maximum(flow.sum(0), 1)
+    dangling, want = flow.sum(0) == 0, np.full(n, 1 / n)
+    for _ in range(iterations):
+        want = 0.15 / n + 0.85 * (flow @ want + want[dangling].sum() / n)
+    got = {r.id: r["rank"] for r in centrality.pagerank(PropertyGraph.of(nodes, rels), None, 0.85, iterations).collect()}
+    assert len(got) == n and np.allclose([got[i] for i in range(n)], want) and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_small_world_shards(spark):
+    """Graphs of bounded size, several a task, find what one finds when each is searched as wide as it is long."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(i, r.standard_normal(6).tolist()) for i in range(90)]
+    base = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = vectors.HnswIndex(base, 8, 60, partitions=2, shard_bytes=20 * 6 * 8)
+    sizes = [len(x.ids) // 8 for x in index.graphs.select("ids").collect()]
+    assert sum(sizes) == 90 and max(sizes) == 20 and len(sizes) >= 5
+    asked = base.where("id % 30 = 0")
+    exact = {(x.query, x.id) for x in vectors.cosine_search_all(base, asked, 4).collect()}
+    assert {(x.query, x.id) for x in index.search_all(asked, 4, 20).collect()} == exact
+
+
 def test_vectors(spark):
     import numpy as np
 
