@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,8 @@ class WordBPE:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        #: a text without it has no special token
+        self.hint = commonprefix(list(self.special))
         self.cache = TwoGenerations(CACHED_WORDS)
 
     def merge(self, word: bytes) -> list[int]:
@@ -118,9 +121,12 @@ class WordBPE:
         # each character by itself: no final sigma
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
+    def has_special(self, text: str) -> bool:
+        return self.specials is not None and self.hint in text and any(s in text for s in self.special)
+
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Words in order, and whether each is a special token."""
-        if self.specials is None or "<" not in text:
+        if not self.has_special(text):
             for w in self.words(self.normal(text)):
                 yield w, False
             return
@@ -150,7 +156,7 @@ class WordBPE:
         """Token count, decimal ids and decoded text; each distinct word is merged once while it stays cached."""
         cache = self.cache
         young, fetch = cache.young, cache.fetch
-        if self.specials is not None and "<|" in text and any(s in text for s in self.special):
+        if self.has_special(text):
             found = [self.word_forms(w, s) for w, s in self.pieces(text)]
         else:
             found = []
